@@ -139,8 +139,8 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, close: int =
         encode = encoder(tokenizer, special)
         for pdf in batches:
             rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                ids = np.append(encode(text) if text else [], close).astype("<u4")
+            for doc_id, ids in zip(pdf["doc_id"], encode.many(pdf["text"].tolist()), strict=True):
+                ids = np.append(ids, np.uint32(close)).astype("<u4", copy=False)
                 for k in range(0, len(ids), capacity):
                     part = ids[k : k + capacity]
                     rows.append((uid, doc_id, k // capacity, k, len(part), part.tobytes()))

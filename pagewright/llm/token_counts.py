@@ -45,8 +45,8 @@ def write_flat(docs: DataFrame, tokenizer: str, close: int = CLOSE, dtype: str =
         for pdf in batches:
             pd = pdf.__class__
             out, parts = [], [rest]
-            for text in pdf["text"]:
-                parts.append(np.append(encode(text) if text else [], close).astype(dtype).tobytes())
+            for ids in encode.many(pdf["text"].tolist()):
+                parts.append(np.append(ids, np.uint32(close)).astype(dtype).tobytes())
             data = b"".join(parts)
             whole = len(data) - len(data) % size
             for k in range(0, whole, size):

@@ -8,24 +8,41 @@ the words that it has met, up to a bound, and encodes a word once.
 from __future__ import annotations
 
 import re
+from itertools import islice
 
 import numpy as np
 
-_SIMPLE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
-_ENDED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,])\Z")
+_SIMPLE = re.compile(r"[a-zà-öø-ÿ]+\Z")
+#: Kinds of Latin-1 characters: letters and digits, marks that may end a word, blanks, all else.
+_KINDS = bytes(ord("a" if c.isalnum() else "." if c in ".," else " " if c in " \n" else "!") for c in map(chr, range(256)))
+#: The byte-level alphabet: printable bytes stand for themselves, the rest for 256 and up in order.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_ALPHABET = {b: 256 + k for k, b in enumerate(sorted({*range(256)} - {*_PRINTED}))}
+
+
+class Numbered(dict):
+    """A word that is new gets the next number."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = k = len(self)
+        return k
 
 
 class WordEncoder:
     """Ids of texts; special=True: a special token's string in a text becomes its id."""
 
     #: Words kept before the cache starts anew; bounds the memory of a worker.
-    KEEP = 300_000
+    KEEP = 800_000
 
     def __init__(self, path: str, special: bool = True):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special
+        # the same model for words that are normal already and spelt in the byte-level alphabet
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = None
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         for piece, i in vocab.items():
@@ -33,71 +50,93 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.at: dict[str, int] = {"": 0}
+        self.at = Numbered({"": 0})
         self.starts = np.zeros(1 << 16, np.int64)
         self.sizes = np.zeros(1 << 16, np.int64)
         self.flat = np.zeros(1 << 18, np.uint32)
         self.used = 0
 
-    def _put(self, word: str, ids) -> None:
-        k, n = len(self.at), len(ids)
-        if k >= len(self.starts):
-            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+    def _put(self, numbers: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Note the ids of numbered words, which follow each other in ids."""
+        n = len(ids)
         while self.used + n > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + n] = ids
-        self.starts[k], self.sizes[k], self.at[word] = self.used, n, k
+        self.starts[numbers] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[numbers] = sizes
         self.used += n
 
-    def _ids(self, k: int):
-        return self.flat[self.starts[k] : self.starts[k] + self.sizes[k]]
-
-    def _learn(self, words) -> None:
-        """Encode new words. Plain ones go in one call: each ends with its only word-end piece."""
-        plain, ended, other = {}, [], []
-        for w in words:
-            if _SIMPLE.match(w):
-                plain[w.lower()] = None
-            elif m := _ENDED.match(w):
-                plain[m[1].lower()] = None
-                ended.append((w, m[1].lower(), m[2]))
-            else:
-                other.append(w)
-        todo = [w for w in plain if w not in self.at]
-        for k in range(0, len(todo), 4096):
-            part = todo[k : k + 4096]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
+    def _learn(self, words: list[str], first: int) -> None:
+        """Encode new words, numbered from first. Those of letters go together: each ends with its only word-end piece."""
+        while first + len(words) > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+        match = _SIMPLE.match
+        letters = np.array([match(w) is not None for w in words], bool)
+        plain, other = np.flatnonzero(letters), np.flatnonzero(~letters).tolist()
+        parts = [plain[k : k + 256] for k in range(0, len(plain), 256)]
+        spelt = [" ".join([words[k] for k in part.tolist()]) for part in parts]
+        spelt = [t if t.isascii() else t.encode().decode("latin-1").translate(_ALPHABET).replace(chr(_ALPHABET[32]), " ") for t in spelt]
+        for part, e in zip(parts, self.bare.encode_batch_fast(spelt, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
             stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(part):
-                other += part
-                continue
-            start = 0
-            for w, stop in zip(part, stops.tolist(), strict=True):
-                self._put(w, ids[start:stop])
-                start = stop
-        for w in (".", ",", *other):
-            if w not in self.at:
-                self._put(w, self.tokenizer.encode(w, add_special_tokens=False).ids)
-        for w, stem, mark in ended:
-            self._put(w, np.concatenate([self._ids(self.at[stem]), self._ids(self.at[mark])]))
-        for w in words:
-            if w not in self.at:  # a plain one with capitals
-                self._put(w, self._ids(self.at[w.lower()]))
-
-    def __call__(self, text: str) -> np.ndarray:
-        words = text.replace("\n", " ").split(" ")
-        get = self.at.get
-        found = [get(w, -1) for w in words]
-        if -1 in found:
-            if len(self.at) > self.KEEP:
-                self._clear()
-            self._learn(list(dict.fromkeys(w for w in words if w not in self.at)))
-            at = self.at
-            found = [at[w] for w in words]
-        k = np.array(found, np.int64)
+            if len(stops) == len(part):
+                self._put(first + part, ids, np.diff(stops, prepend=0))
+            else:
+                other += part.tolist()
+        if other:
+            each = [e.ids for e in self.tokenizer.encode_batch_fast([words[k] for k in other], add_special_tokens=False)]
+            self._put(first + np.array(other), np.array([i for ids in each for i in ids], np.uint32), np.array([len(ids) for ids in each]))
+
+    @staticmethod
+    def _split(text: str) -> list[str]:
+        """Parts of a text that the file's own rules never join.
+
+        A text of Latin-1 alone is lower-cased first, as the file does to each of its characters, and
+        loses the full stops and commas at its words' ends to words of their own.
+        """
+        if "<|" not in text:
+            try:
+                kinds = text.encode("latin-1").translate(_KINDS)
+            except UnicodeEncodeError:
+                kinds = b"!."
+            if b"!." not in kinds and b".." not in kinds:  # else a mark may join what stands before it
+                text = text.lower()
+                for mark in ".,":
+                    text = text.replace(mark + " ", f" {mark} ").replace(mark + "\n", f" {mark} ")
+                if text[-1:] in (".", ","):
+                    text = f"{text[:-1]} {text[-1]}"
+        return text.replace("\n", " ").split(" ")
+
+    def many(self, texts) -> list[np.ndarray]:
+        """Ids of each text; a null or empty one has none."""
+        out, words, ends = [], [], []
+        for k, text in enumerate(texts):
+            if text:
+                words += self._split(text)
+            ends.append(len(words))
+            if len(words) > 200_000 or k == len(texts) - 1:
+                flat, sizes = self._ids(words)
+                cuts = np.concatenate([[0], np.cumsum(sizes)])[np.array([0, *ends])].tolist()
+                out += [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+                words, ends = [], []
+        return out
+
+    def _ids(self, words: list[str]):
+        if not words:
+            return self.flat[:0], np.zeros(0, np.int64)
+        if len(self.at) > self.KEEP:
+            self._clear()
+        before = len(self.at)
+        k = np.array(list(map(self.at.__getitem__, words)), np.int64)
+        if len(self.at) > before:
+            new = list(islice(reversed(self.at), len(self.at) - before))
+            self._learn(new[::-1], before)
         sizes = self.sizes[k]
         ends = np.cumsum(sizes)
-        return self.flat[np.repeat(self.starts[k] - ends + sizes, sizes) + np.arange(ends[-1])]
+        return self.flat[np.repeat(self.starts[k] - ends + sizes, sizes) + np.arange(ends[-1])], sizes
+
+    def __call__(self, text: str) -> np.ndarray:
+        return self.many([text])[0]
 
 
 _encoders: dict = {}
