@@ -15,11 +15,14 @@ from __future__ import annotations
 import base64
 import re
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tokens import Numbered
+
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Documents learned from, for each language at most.
 SAMPLE_DOCS = 300
@@ -145,13 +148,18 @@ def is_held_out(doc_id):
 
 def train(docs: DataFrame, vocabulary: str, sample_docs: int = SAMPLE_DOCS) -> Model:
     """Learn from at most sample_docs whole documents of each language, chosen by a hash of their id."""
+    own = docs.where("doc_id is not null and lang is not null").where(~is_held_out(F.col("doc_id"))).select("doc_id", "lang", "text", F.xxhash64("doc_id").alias("_h"))
+    # a share by hash first, of about twice the sample, so that no task reads rows by the number of tasks
+    sizes = own.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row for each language
+    if not sizes:
+        return fit({}, load_pieces(vocabulary))
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 2.0 * sample_docs / r["n"]))])
     first = Window.partitionBy("lang").orderBy("_h", "doc_id", "text")
     rows = (
-        docs.where("doc_id is not null and lang is not null and text is not null")
-        .where(~is_held_out(F.col("doc_id")))
-        .select("doc_id", "lang", "text", F.xxhash64("doc_id").alias("_h"))
+        own.where(F.pmod("_h", F.lit(1 << 30)) <= share[F.col("lang")] * (1 << 30))
+        .where("text is not null")
         .withColumn("_k", F.row_number().over(first))
-        .where(F.col("_k") <= sample_docs)  # each task keeps its own first ones before the shuffle
+        .where(F.col("_k") <= sample_docs)
     )
 
     def count(batches):
@@ -168,10 +176,54 @@ def train(docs: DataFrame, vocabulary: str, sample_docs: int = SAMPLE_DOCS) -> M
     return fit(found, load_pieces(vocabulary))
 
 
-_known: dict[str, int] = {}
-_table = [np.zeros((0, 0)), ""]
-#: Words whose scores a worker keeps.
-KEEP = 400_000
+#: Words whose scores a worker keeps, and words that it looks up together.
+KEEP = 600_000
+TOGETHER = 200_000
+
+
+class Judge:
+    """Predicts texts, many at a time; scores of words are kept up to a bound."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known, self.scores = Numbered(), np.zeros((1 << 16, len(self.model.langs)))
+
+    def _sums(self, words: list[str], sizes: np.ndarray) -> np.ndarray:
+        """Log-probabilities of runs of words, each of one or more."""
+        if len(self.known) > KEEP:
+            self._clear()
+        before = len(self.known)
+        ids = np.array(list(map(self.known.__getitem__, words)), np.int64)
+        while len(self.known) > len(self.scores):
+            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+        if len(self.known) > before:
+            new = list(islice(reversed(self.known), len(self.known) - before))[::-1]
+            self.scores[before : len(self.known)] = self.model.log_words(new)
+        return np.add.reduceat(self.scores[ids], np.cumsum(sizes) - sizes, axis=0)
+
+    def __call__(self, texts) -> tuple[list[str], np.ndarray]:
+        pred, score = ["und"] * len(texts), np.zeros(len(texts))
+        words, rows, sizes = [], [], []
+        for k, text in enumerate(texts):
+            if text is not None and any(map(str.isalpha, text)):
+                own = words_of(text)
+                words += own
+                rows.append(k)
+                sizes.append(len(own))
+            if rows and (len(words) >= TOGETHER or k == len(texts) - 1):
+                total = self._sums(words, np.array(sizes))
+                best = total.argmax(axis=1)
+                score[rows] = 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+                for row, c in zip(rows, best.tolist(), strict=True):
+                    pred[row] = self.model.langs[c]
+                words, rows, sizes = [], [], []
+        return pred, score
+
+
+_judge: list = ["", None]
 
 
 def predictor(spark, model: Model, token: str):
@@ -182,34 +234,15 @@ def predictor(spark, model: Model, token: str):
     sent = spark.sparkContext.broadcast((model.langs, model.p))  # pieces x languages
     path, longest = token.split("|", 1)[1], model.longest
 
-    def judge(text, m):
-        words = words_of(text) if text is not None and any(map(str.isalpha, text)) else []
-        if not words:
-            return "und", 0.0
-        ids = [_known.get(w, -1) for w in words]
-        if -1 in ids:
-            if len(_known) > KEEP:
-                _known.clear()
-            new = list(dict.fromkeys(w for w in words if w not in _known))
-            k = len(_known)
-            while k + len(new) > len(_table[0]):
-                _table[0] = np.concatenate([_table[0], np.zeros((max(1 << 16, len(_table[0])), len(m.langs)))])
-            _table[0][k : k + len(new)] = m.log_words(new)
-            _known.update(zip(new, range(k, k + len(new)), strict=True))
-            ids = [_known[w] for w in words]
-        total = _table[0][ids].sum(axis=0)
-        best = int(total.argmax())
-        return m.langs[best], float(1.0 / np.exp(total - total[best]).sum())
-
     def run(batches):
         import pandas as pd
 
-        langs, p = sent.value
-        if _table[1] != token:
-            _table[:] = [np.zeros((0, len(langs))), token, Model(langs, load_pieces(path), longest, p)]
-            _known.clear()
+        if _judge[0] != token:
+            langs, p = sent.value
+            _judge[:] = [token, Judge(Model(langs, load_pieces(path), longest, p))]
         for texts in batches:
-            yield pd.DataFrame([judge(t, _table[2]) for t in texts], columns=["lang_pred", "score"])
+            pred, score = _judge[1](texts.tolist())
+            yield pd.DataFrame({"lang_pred": pred, "score": score})
 
     from collections.abc import Iterator
 
