@@ -21,6 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import text_batches
 from .tokens import Numbered
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -255,6 +256,7 @@ def predictor(spark, model: Model, token: str):
 def _fitted(docs: DataFrame, vocabulary: str, sample_docs: int):
     import uuid
 
+    text_batches(docs.sparkSession)
     return predictor(docs.sparkSession, train(docs, vocabulary, sample_docs), f"{uuid.uuid4().hex}|{vocabulary}")
 
 

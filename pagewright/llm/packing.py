@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import text_batches, written
 from .tokens import encoder
 
 CAPACITY = 2048
@@ -147,6 +147,7 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, close: int =
                     uid += 1
             yield pdf.__class__(rows, columns=["uid", "doc_id", "piece", "start", "length", "ids"]).astype({"doc_id": pdf["doc_id"].dtype})
 
+    text_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInPandas(run, f"uid long, doc_id {kind}, piece int, start long, length long, ids binary")
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import text_batches, written
 from .components import connected_components
 
 SHINGLE = 4
@@ -70,6 +70,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, text
             fps = np.array([fingerprint(t, shingle, seed) for t in pdf["text"]], np.uint64)
             yield pdf.drop(columns="text").assign(fp=fps.view(np.int64))
 
+    text_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", *[F.xxhash64("text").alias("th")] * text_hash)
     return rows.mapInPandas(run, T.StructType([f for f in rows.schema if f.name != "text"]).add("fp", "long"))
 

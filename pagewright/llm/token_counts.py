@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import text_batches, written
 from .tokens import encoder
 
 DTYPE = "<u2"
@@ -33,6 +33,7 @@ def write_flat(docs: DataFrame, tokenizer: str, close: int = CLOSE, dtype: str =
     Rows with ``doc_id`` and ``ordinal`` (block null) tell which document was put where; the
     scan does not read them.
     """
+    text_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):

@@ -32,7 +32,7 @@ class WordEncoder:
     """Ids of texts; special=True: a special token's string in a text becomes its id."""
 
     #: Words kept before the cache starts anew; bounds the memory of a worker.
-    KEEP = 800_000
+    KEEP = 600_000
 
     def __init__(self, path: str, special: bool = True):
         from tokenizers import Tokenizer, pre_tokenizers
