@@ -5,9 +5,10 @@ from the tokens before and after it. A document's score is the mean of its token
 conditional log-probabilities (their sum is returned too).
 
 The vocabulary comes from the counts of all words of all documents: the most frequent
-words are tokens of their own and the rest share tokens by hash. Each training round
+words are tokens of their own and the rest share tokens by hash. Texts are coded once, into a
+table of token ids in the shared folder. Each training round
 goes over windows of every document (one place in STRIDE, another offset each round);
-tasks train from the same weights and the weights are averaged by tokens seen. The
+tasks train from the same weights and the weights are averaged by tokens seen. Biases start from the tokens' counts. The
 output is a softmax over classes, then over the tokens of a class.
 
 Defined cases: a null or empty text, or one without a word, has no tokens, sum 0 and score
@@ -17,10 +18,14 @@ Only doc_id and text are read.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches, written
+
 #: Tokens: frequent words, then shared ones; CLASSES x CLASSES in all. The last pads.
 CLASSES = 32
 FREQUENT = 768
@@ -29,83 +34,125 @@ SIDE = 2
 ROUNDS = 3
 STRIDE = 4
 BATCH = 512
-RATE = 0.25
+#: Tokens that are scored together.
+TOGETHER = 1 << 13
+RATE = 0.1
 SEED = 11
 
 
 class Net:
-    """h = tanh(sum of the context's embeddings + b); class and member logits from h."""
+    """h = tanh(sum of the context's embeddings + b); class and member logits from h and a constant.
 
-    NAMES = ("emb", "b", "wc", "bc", "wm", "bm")
+    Weights: the embeddings of all places of the window, one after another; b; those of the classes;
+    those of each class's members. The constant's weights, the last row, are the biases.
+    """
 
     def __init__(self, weights=None, tokens: int = CLASSES * CLASSES, width: int = WIDTH, side: int = SIDE):
-        self.classes, self.side = int(tokens**0.5), side
+        self.classes, self.side, self.pad = int(tokens**0.5), side, tokens
         if weights is None:
             rng, c = np.random.default_rng(SEED), self.classes
-            weights = [rng.normal(0, 0.1, (2 * side, tokens + 1, width)), np.zeros(width), rng.normal(0, 0.1, (width, c)), np.zeros(c), rng.normal(0, 0.1, (c, width, c)), np.zeros((c, c))]
+            weights = [rng.normal(0, 0.1, (2 * side * (tokens + 1), width)), np.zeros(width), rng.normal(0, 0.1, (width + 1, c)), rng.normal(0, 0.1, (c, width + 1, c))]
+            weights[2][-1] = weights[3][:, -1] = 0
         self.w = [np.asarray(x, np.float32).copy() for x in weights]
-
-    def hidden(self, context: np.ndarray) -> np.ndarray:
-        emb, b = self.w[0], self.w[1]
-        return np.tanh(sum(emb[k][context[:, k]] for k in range(2 * self.side)) + b)
+        self.seen = [np.full_like(x, 1e-8) for x in self.w]  # sums of squared gradients
+
+    def start_from(self, counts: np.ndarray) -> None:
+        """Let the biases give each token its share of all tokens."""
+        share = np.log((counts + 1.0) / (counts + 1.0).sum()).reshape(self.classes, self.classes)
+        self.w[2][-1] = np.logaddexp.reduce(share, axis=1)
+        self.w[3][:, -1] = share - self.w[2][-1][:, None]
+
+    def hidden(self, rows: np.ndarray) -> np.ndarray:
+        """rows: of the embeddings, for each place of each window."""
+        h = np.ones((len(rows), len(self.w[1]) + 1), np.float32)
+        total = self.w[0][rows[:, 0]]
+        for k in range(1, rows.shape[1]):
+            total += self.w[0][rows[:, k]]
+        total += self.w[1]
+        np.tanh(total, out=h[:, :-1])
+        return h
+
+    def rows(self, context: np.ndarray) -> np.ndarray:
+        return context + np.arange(2 * self.side, dtype=np.int32) * (self.pad + 1)
+
+    def _by_class(self, cls: np.ndarray):
+        order = np.argsort(cls.astype(np.uint8), kind="stable")
+        cuts = np.searchsorted(cls[order], np.arange(self.classes + 1)).tolist()
+        return order, [(c, a, b) for c, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
 
     def log_prob(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
-        h = self.hidden(context)
-        _, _, wc, bc, wm, bm = self.w
+        h = self.hidden(self.rows(context))
         cls, member = np.divmod(token, self.classes)
+        order, runs = self._by_class(cls)
+        h, cls, member = h[order], cls[order], member[order]
+        z = h @ self.w[2]
+        got = z[np.arange(len(z)), cls]
+        y = np.empty((len(h), self.classes), np.float32)
+        for c, a, b in runs:
+            np.matmul(h[a:b], self.w[3][c], out=y[a:b])
+        got += y[np.arange(len(y)), member]
+        for x in (z, y):
+            top = x.max(axis=1)
+            x -= top[:, None]
+            np.exp(x, out=x)
+            got -= top + np.log(x.sum(axis=1))
         out = np.empty(len(token))
-        z = h @ wc + bc
-        z -= z.max(axis=1, keepdims=True)
-        out[:] = z[np.arange(len(z)), cls] - np.log(np.exp(z).sum(axis=1))
-        order = np.argsort(cls.astype(np.uint8), kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            rows = order[cuts[c] : cuts[c + 1]]
-            if len(rows):
-                y = h[rows] @ wm[c] + bm[c]
-                y -= y.max(axis=1, keepdims=True)
-                out[rows] += y[np.arange(len(y)), member[rows]] - np.log(np.exp(y).sum(axis=1))
+        out[order] = got
         return out
 
     def step(self, context: np.ndarray, token: np.ndarray, rate: float) -> None:
-        """One step down the mean loss of a batch."""
-        emb, b, wc, bc, wm, bm = self.w
-        n = len(token)
-        h = self.hidden(context)
+        """One Adagrad step down the mean loss of a batch; rows that are seldom met move further."""
         cls, member = np.divmod(token, self.classes)
-        z = h @ wc + bc
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(n), cls] -= 1
-        back = p @ wc.T
-        grad_wc, grad_bc = h.T @ p, p.sum(axis=0)
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            rows = order[cuts[c] : cuts[c + 1]]
-            if len(rows):
-                y = h[rows] @ wm[c] + bm[c]
-                q = np.exp(y - y.max(axis=1, keepdims=True))
-                q /= q.sum(axis=1, keepdims=True)
-                q[np.arange(len(rows)), member[rows]] -= 1
-                back[rows] += q @ wm[c].T
-                wm[c] -= rate / n * 8 * (h[rows].T @ q)
-                bm[c] -= rate / n * 8 * q.sum(axis=0)
-        wc -= rate / n * 8 * grad_wc
-        bc -= rate / n * 8 * grad_bc
-        back *= (1 - h * h) * (rate / n * 8)
-        b -= back.sum(axis=0)
-        for k in range(2 * self.side):
-            order = np.argsort(context[:, k], kind="stable")
-            tokens, starts = np.unique(context[order, k], return_index=True)
-            emb[k][tokens] -= np.add.reduceat(back[order], starts, axis=0)
+        order, runs = self._by_class(cls)
+        rows, cls, member, n = self.rows(context[order]), cls[order], member[order], len(token)
+        h, at = self.hidden(rows), np.arange(n)
+        p, q = h @ self.w[2], np.empty((n, self.classes), np.float32)
+        for c, a, b in runs:
+            np.matmul(h[a:b], self.w[3][c], out=q[a:b])
+        for x, right in ((p, cls), (q, member)):
+            x -= x.max(axis=1, keepdims=True)
+            np.exp(x, out=x)
+            x /= x.sum(axis=1, keepdims=True)
+            x[at, right] -= 1
+            x /= n
+        back = p @ self.w[2].T
+        grads = np.empty((len(runs), *self.w[3].shape[1:]), np.float32)
+        for k, (c, a, b) in enumerate(runs):
+            back[a:b] += q[a:b] @ self.w[3][c].T
+            np.matmul(h[a:b].T, q[a:b], out=grads[k])
+        self._move(3, np.array([c for c, _, _ in runs]), grads, rate)
+        self._move(2, slice(None), h.T @ p, rate)
+        h, back = h[:, :-1], back[:, :-1]
+        back = back * (1 - h * h)
+        self._move(1, slice(None), back.sum(axis=0), rate)
+        flat = rows.ravel()
+        order = np.argsort(flat.astype(np.uint16) if len(self.w[0]) < 1 << 16 else flat, kind="stable")
+        own = flat[order]
+        starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        self._move(0, own[starts], np.add.reduceat(back[order // rows.shape[1]], starts, axis=0), rate)
+
+    def _move(self, name: int, at, grad: np.ndarray, rate: float) -> None:
+        total = self.seen[name][at] + grad * grad
+        self.seen[name][at] = total
+        self.w[name][at] -= rate * grad / np.sqrt(total)
+
+    def windows(self, ids: list[np.ndarray]):
+        """(wide, places, sizes): texts one after another with pads between, and where their tokens are."""
+        s, pad = self.side, self.pad
+        sizes = np.array([len(x) for x in ids], np.int64)
+        places = np.arange(sizes.sum()) + np.repeat(s * (2 * np.arange(len(ids)) + 1), sizes)
+        wide = np.full(int(sizes.sum()) + 2 * s * len(ids), pad, np.int32)
+        wide[places] = np.concatenate(ids) if ids else []
+        return wide, places, sizes
+
+    def around(self, wide: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The window about each place, without itself."""
+        s = self.side
+        return wide[places[:, None] + np.array([k for k in range(-s, s + 1) if k])]
 
     def contexts(self, ids: np.ndarray) -> np.ndarray:
-        """The window about each token, without itself."""
-        s, pad = self.side, len(self.w[0][0]) - 1
-        wide = np.concatenate([np.full(s, pad), ids, np.full(s, pad)]).astype(np.int32)
-        n = len(ids)
-        return np.stack([wide[k : k + n] for k in range(2 * s + 1) if k != s], axis=1)
+        wide, places, _ = self.windows([ids])
+        return self.around(wide, places)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -115,6 +162,8 @@ def words_of(text: str | None) -> list[str]:
 def word_counts(docs: DataFrame) -> DataFrame:
     """``word, n`` over all documents; each task sums its own words first."""
 
+    text_batches(docs.sparkSession)
+
     def run(batches):
         from collections import Counter
 
@@ -139,78 +188,91 @@ def vocabulary(docs: DataFrame, size: int = FREQUENT) -> dict[str, int]:
     return {r["word"]: k for k, r in enumerate(rows)}
 
 
+class Shared(dict):
+    """A word that is no token of its own gets one by hash."""
+
+    def __init__(self, vocab: dict[str, int], rest: int):
+        super().__init__(vocab)
+        self.first, self.rest = len(vocab), rest
+
+    def __missing__(self, word: str) -> int:
+        self[word] = token = self.first + zlib.crc32(word.encode()) % self.rest
+        return token
+
+
 class Coder:
     """Words to tokens; words that share tokens are kept up to a bound."""
 
     KEEP = 400_000
 
     def __init__(self, vocab: dict[str, int], tokens: int):
-        self.vocab, self.first, self.rest, self.seen = vocab, len(vocab), tokens - len(vocab), dict(vocab)
+        self.vocab, self.rest = vocab, tokens - len(vocab)
+        self.seen = Shared(vocab, self.rest)
 
     def __call__(self, text: str | None) -> np.ndarray:
-        import zlib
+        if len(self.seen) > self.KEEP:
+            self.seen = Shared(self.vocab, self.rest)
+        return np.array(list(map(self.seen.__getitem__, words_of(text))), np.int32)
+
 
-        words, get = words_of(text), self.seen.get
-        ids = [get(w, -1) for w in words]
-        if -1 in ids:
-            if len(self.seen) > self.KEEP:
-                self.seen = dict(self.vocab)
-            for w in words:
-                if w not in self.seen:
-                    self.seen[w] = self.first + zlib.crc32(w.encode()) % self.rest
-            ids = [self.seen[w] for w in words]
-        return np.array(ids, np.int32)
+def code(docs: DataFrame, vocab: dict[str, int], tokens: int = CLASSES * CLASSES) -> DataFrame:
+    """``doc_id, ids``: the tokens of each text as little-endian unsigned 16-bit numbers."""
+    text_batches(docs.sparkSession)
+    words = docs.sparkSession.sparkContext.broadcast(vocab)  # FREQUENT words
 
+    def run(batches):
+        coder = Coder(words.value, tokens)
+        for pdf in batches:
+            yield pdf.__class__({"doc_id": pdf["doc_id"], "ids": [coder(t).astype("<u2").tobytes() for t in pdf["text"]]})
 
-_coders: dict = {}
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, ids binary")
 
 
-def _coder(key: str, vocab: dict[str, int], tokens: int) -> Coder:
-    if key not in _coders:
-        _coders.clear()
-        _coders[key] = Coder(vocab, tokens)
-    return _coders[key]
+def counts_of(coded: DataFrame, tokens: int) -> np.ndarray:
+    """How often each token occurs in all texts; each task sends one sum a token."""
 
+    def run(batches):
+        total, pd = np.zeros(tokens, np.int64), None
+        for pdf in batches:
+            pd = pdf.__class__
+            for x in pdf["ids"]:
+                total += np.bincount(np.frombuffer(x, "<u2"), minlength=tokens)
+        if pd:
+            yield pd({"token": np.arange(tokens), "n": total})
 
-def train(docs: DataFrame, vocab: dict[str, int], key: str, rounds: int = ROUNDS, stride: int = STRIDE, tokens: int = CLASSES * CLASSES) -> Net:
+    out = np.zeros(tokens, np.int64)
+    for r in coded.select("ids").mapInPandas(run, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).collect():
+        out[r["token"]] = r["n"]
+    return out
+
+
+def train(coded: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, tokens: int = CLASSES * CLASSES) -> Net:
     """Rounds of training in every task and averaging; what comes to the driver is one set of weights."""
-    sc = docs.sparkSession.sparkContext
-    words = sc.broadcast(vocab)  # FREQUENT words
+    sc = coded.sparkSession.sparkContext
     net = Net(tokens=tokens)
+    net.start_from(counts_of(coded, tokens))
     for r in range(rounds):
         sent = sc.broadcast(net.w)  # a fixed number of weights
 
         def run(batches, r=r, sent=sent):
-            own, coder = Net(sent.value, tokens), _coder(key, words.value, tokens)
-            rate, seen, pd = RATE / (1 + r), 0, None
-            held, many = [], 0
-
-            def learn(ready):
-                nonlocal seen
-                c, t = (np.concatenate(x) for x in zip(*ready, strict=True))
-                for k in range(0, len(t), BATCH):
-                    own.step(c[k : k + BATCH], t[k : k + BATCH], rate)
-                seen += len(t)
-
+            own, rate, seen, pd = Net(sent.value, tokens), RATE / (1 + r), 0, None
             for pdf in batches:
                 pd = pdf.__class__
-                for text in pdf["text"]:
-                    ids = coder(text)
-                    if len(ids):
-                        part = slice((len(ids) + r) % stride if len(ids) >= stride else 0, None, stride)
-                        held.append((own.contexts(ids)[part], ids[part]))
-                        many += len(held[-1][1])
-                        if many >= 64 * BATCH:
-                            learn(held)
-                            held, many = [], 0
-            if held:
-                learn(held)
+                wide, places, sizes = own.windows([np.frombuffer(x, "<u2") for x in pdf["ids"]])
+                at = np.arange(len(places)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                n = np.repeat(sizes, sizes)
+                places = places[((at + n + r) % stride == 0) | (n < stride)]
+                for k in range(0, len(places), BATCH):
+                    part = places[k : k + BATCH]
+                    own.step(own.around(wide, part), wide[part], rate)
+                seen += len(places)
             if seen:
                 flat = np.concatenate([(x.astype(np.float64) * seen).ravel() for x in own.w])
                 for k in range(0, len(flat), 4096):  # slices, so that sums are shared out
                     yield pd({"part": [k // 4096], "seen": [seen], "w": [flat[k : k + 4096]]})
 
-        slices = docs.select("text").mapInPandas(run, "part int, seen long, w array<double>")
+        slices = coded.select("ids").mapInPandas(run, "part int, seen long, w array<double>")
         merged = slices.groupBy("part").applyInPandas(lambda pdf: pdf.iloc[:1].assign(seen=pdf["seen"].sum(), w=[np.sum(np.stack(pdf["w"]), axis=0)]), "part int, seen long, w array<double>").collect()
         if not merged:
             break
@@ -226,34 +288,21 @@ def train(docs: DataFrame, vocab: dict[str, int], key: str, rounds: int = ROUNDS
 
 def score(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, frequent: int = FREQUENT) -> DataFrame:
     """``doc_id, n_tokens, log_prob, score`` of every row."""
-    import uuid
-
-    key, tokens = uuid.uuid4().hex, CLASSES * CLASSES
-    vocab = vocabulary(docs, frequent)
-    net = train(docs, vocab, key, rounds, stride)
-    sent = docs.sparkSession.sparkContext.broadcast((vocab, net.w))  # FREQUENT words and a fixed number of weights
+    tokens = CLASSES * CLASSES
+    coded = written(code(docs, vocabulary(docs, frequent), tokens))
+    net = train(coded, rounds, stride, tokens)
+    sent = docs.sparkSession.sparkContext.broadcast(net.w)  # a fixed number of weights
 
     def run(batches):
-        vocab, w = sent.value
-        own, coder = Net(w, tokens), _coder(key, vocab, tokens)
+        own = Net(sent.value, tokens)
         for pdf in batches:
-            ids = [coder(t) for t in pdf["text"]]
-            n = np.array([len(x) for x in ids], np.int64)
-            total = np.zeros(len(ids))
-            part, many = [], 0
-            for k, x in enumerate(ids):
-                part.append(k)
-                many += len(x)
-                if many >= 1 << 16 or k == len(ids) - 1:
-                    of = np.repeat(part, n[part])
-                    if len(of):
-                        c = np.concatenate([own.contexts(ids[j]) for j in part if n[j]])
-                        t = np.concatenate([ids[j] for j in part])
-                        for a in range(0, len(t), 1 << 16):
-                            np.add.at(total, of[a : a + (1 << 16)], own.log_prob(c[a : a + (1 << 16)], t[a : a + (1 << 16)]))
-                    part, many = [], 0
+            wide, places, n = own.windows([np.frombuffer(x, "<u2") for x in pdf["ids"]])
+            of, total = np.repeat(np.arange(len(n)), n), np.zeros(len(n))
+            for a in range(0, len(places), TOGETHER):
+                part = places[a : a + TOGETHER]
+                total += np.bincount(of[a : a + TOGETHER], own.log_prob(own.around(wide, part), wide[part]), len(n))
             mean = [float(s / k) if k else None for s, k in zip(total, n, strict=True)]
             yield pdf.__class__({"doc_id": pdf["doc_id"], "n_tokens": n, "log_prob": total, "score": np.array(mean, object)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_tokens long, log_prob double, score double")
+    return coded.mapInPandas(run, f"doc_id {kind}, n_tokens long, log_prob double, score double")

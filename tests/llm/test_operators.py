@@ -473,7 +473,7 @@ def test_network_learns_and_prefers_sense(spark, docs):
     assert len(out) == 1000
     vocab = lm_score.vocabulary(docs)
     assert len(vocab) == lm_score.FREQUENT
-    net = lm_score.train(docs, vocab, "test")
+    net = lm_score.train(lm_score.code(docs, vocab))
     coder = lm_score.Coder(vocab, lm_score.CLASSES**2)
     rng = np.random.default_rng(0)
     better = []
