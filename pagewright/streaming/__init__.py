@@ -1,0 +1,15 @@
+"""Images that arrive in a folder. Each is read by itself, so there is no state and no watermark."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from pagewright.sources.images import decoded
+
+FILE = "path string, modificationTime timestamp, length long, content binary"
+
+
+def stream_images(spark: SparkSession, path: str, pattern: str = "*.png", files_per_trigger: int = 1000) -> DataFrame:
+    """A stream of image rows for OcrEngine.recognize."""
+    files = spark.readStream.format("binaryFile").schema(FILE).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_trigger)
+    return decoded(files.load(path))
