@@ -50,7 +50,7 @@ _RAW = "CAST(l_partkey % 800 AS INT) AS x, CAST(l_orderkey * 37 % 900 AS INT) AS
 
 def _boxes(spark, sf_dir, inside: bool = False):
     df = _table(spark, sf_dir, "lineitem").selectExpr(*_KEYS.split(", "), *[x.strip() for x in _RAW.split(", ")])
-    df = df.withColumn("s", geometry.resized(F.col("w"), F.col("h"))).select("*", "s.*")
+    df = df.withColumn("s", geometry.resized(F.col("w"), F.col("h"))).select("*", "s.*").drop("s")
     x, y = F.col("x"), F.col("y")
     if inside:
         x, y = x % (F.col("model_w") - F.col("bw")), y % (F.col("model_h") - F.col("bh"))
@@ -115,9 +115,9 @@ VALID_SQL = f"SELECT {_KEYS}, bw - 9 AS width, bh - 5 AS height, (bw - 9 > 5 AND
 
 def _pipeline(spark, sf_dir):
     df = _boxes(spark, sf_dir).where(geometry.large_enough(F.col("b")))
-    df = df.withColumn("b", geometry.padded(F.col("b"), F.col("model_w"), F.col("model_h")))
-    df = df.withColumn("b", geometry.rescaled(F.col("b"), F.col("ratio"), F.col("w"), F.col("h")))
-    return df.where(geometry.final(F.col("b")))
+    df = geometry.settled(df, "b", geometry.padded(F.col("b"), F.col("model_w"), F.col("model_h")))
+    df = geometry.settled(df, "b", geometry.rescaled(F.col("b"), F.col("ratio"), F.col("w"), F.col("h")))
+    return geometry.only_final(df, "b")
 
 
 def box_pipeline(spark, sf_dir):
@@ -369,8 +369,9 @@ def det_to_text(spark, sf_dir):
     i = F.col("vec_id") % 10
     raw = geometry.box(i % 5 * 90 + 20, F.floor(i / 5) * 120 + 40, 60 + F.col("vec_id") % 7, F.lit(24))
     df = found.withColumn("s", geometry.resized(F.lit(2000), F.lit(1500))).withColumn("b", raw).where(geometry.large_enough(F.col("b")))
-    df = df.withColumn("b", geometry.padded(F.col("b"), F.col("s.model_w"), F.col("s.model_h")))
-    df = df.withColumn("b", geometry.rescaled(F.col("b"), F.col("s.ratio"), F.lit(2000), F.lit(1500))).where(geometry.final(F.col("b")))
+    df = geometry.settled(df, "b", geometry.padded(F.col("b"), F.col("s.model_w"), F.col("s.model_h")))
+    df = geometry.settled(df, "b", geometry.rescaled(F.col("b"), F.col("s.ratio"), F.lit(2000), F.lit(1500)))
+    df = geometry.only_final(df, "b")
     item = F.struct("text", F.col("b").cast(BOX).alias("box"), "confidence")
     pages = df.groupBy(F.floor(F.col("vec_id") / 10).alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("b.y", "b.x", item.alias("item")))).alias("o"))
     pages = pages.select("page_id", F.transform("o", lambda o: o["item"]).alias("items"))
