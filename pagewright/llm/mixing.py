@@ -24,7 +24,7 @@ from .common import n_words, ranked, written
 WEIGHTS = (5, 2, 1)
 MOST = 3.0
 #: Documents of a bucket, and residual buckets that a tree node combines.
-BUCKET = 50_000
+BUCKET = 4_096
 FAN = 16
 
 
