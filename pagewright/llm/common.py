@@ -49,6 +49,12 @@ def text_batches(spark: SparkSession, rows: int = 1_000) -> None:
         spark.conf.set(name, str(rows))
 
 
+def by_name(docs: DataFrame):
+    """(doc_id as a string column, and the cast back): pandas would hold nullable longs as floats, which lose digits."""
+    kind = docs.schema["doc_id"].dataType
+    return F.col("doc_id").cast("string").alias("doc_id"), lambda df: df.withColumn("doc_id", F.col("doc_id").cast(kind))
+
+
 def n_words(text):
     """Words of a text by WORD; a null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches, written
+from .common import by_name, text_batches, written
 
 #: Tokens: frequent words, then shared ones; CLASSES x CLASSES in all. The last pads.
 CLASSES = 32
@@ -216,7 +216,7 @@ class Coder:
 
 
 def code(docs: DataFrame, vocab: dict[str, int], tokens: int = CLASSES * CLASSES) -> DataFrame:
-    """``doc_id, ids``: the tokens of each text as little-endian unsigned 16-bit numbers."""
+    """``doc_id`` (as a string), ``ids``: the tokens of each text as little-endian unsigned 16-bit numbers."""
     text_batches(docs.sparkSession)
     words = docs.sparkSession.sparkContext.broadcast(vocab)  # FREQUENT words
 
@@ -225,8 +225,8 @@ def code(docs: DataFrame, vocab: dict[str, int], tokens: int = CLASSES * CLASSES
         for pdf in batches:
             yield pdf.__class__({"doc_id": pdf["doc_id"], "ids": [coder(t).astype("<u2").tobytes() for t in pdf["text"]]})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, ids binary")
+    doc_id, _ = by_name(docs)
+    return docs.select(doc_id, "text").mapInPandas(run, "doc_id string, ids binary")
 
 
 def counts_of(coded: DataFrame, tokens: int) -> np.ndarray:
@@ -304,5 +304,5 @@ def score(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, frequent:
             mean = [float(s / k) if k else None for s, k in zip(total, n, strict=True)]
             yield pdf.__class__({"doc_id": pdf["doc_id"], "n_tokens": n, "log_prob": total, "score": np.array(mean, object)})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return coded.mapInPandas(run, f"doc_id {kind}, n_tokens long, log_prob double, score double")
+    _, back = by_name(docs)
+    return back(coded.mapInPandas(run, "doc_id string, n_tokens long, log_prob double, score double"))

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, ranked, written
+from .common import by_name, n_words, ranked, written
 
 WEIGHTS = (5, 2, 1)
 MOST = 3.0
@@ -91,7 +91,8 @@ def _round(pdf, last: bool, columns):
 def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST, bucket: int = BUCKET) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies`` of every row."""
     spark = docs.sparkSession
-    sized = written(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size")))
+    doc_id, back = by_name(docs)
+    sized = written(docs.select(doc_id, F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size")))
     targets = source_targets(sized, weights, most)
     n = max(1, -(-sized.count() // bucket))
     t = targets.select(F.col("source").alias("_s"), "source_size", "target")
@@ -148,7 +149,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST, bucket: int = BUCK
     out = done[0]
     for more in done[1:]:
         out = out.unionAll(more)
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("x").cast("long")).alias("copies"))
+    return back(out).select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("x").cast("long")).alias("copies"))
 
 
 def mixed_rows(docs: DataFrame, weights=WEIGHTS, most: float = MOST, bucket: int = BUCKET) -> DataFrame:

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches, written
+from .common import by_name, text_batches, written
 from .tokens import encoder
 
 CAPACITY = 2048
@@ -145,11 +145,11 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, close: int =
                     part = ids[k : k + capacity]
                     rows.append((uid, doc_id, k // capacity, k, len(part), part.tobytes()))
                     uid += 1
-            yield pdf.__class__(rows, columns=["uid", "doc_id", "piece", "start", "length", "ids"]).astype({"doc_id": pdf["doc_id"].dtype})
+            yield pdf.__class__(rows, columns=["uid", "doc_id", "piece", "start", "length", "ids"])
 
     text_batches(docs.sparkSession)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"uid long, doc_id {kind}, piece int, start long, length long, ids binary")
+    doc_id, back = by_name(docs)
+    return back(docs.select(doc_id, "text").mapInPandas(run, "uid long, doc_id string, piece int, start long, length long, ids binary"))
 
 
 def place(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:

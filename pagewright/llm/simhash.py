@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_batches, written
+from .common import by_name, text_batches, written
 from .components import connected_components
 
 SHINGLE = 4
@@ -71,8 +71,9 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, text
             yield pdf.drop(columns="text").assign(fp=fps.view(np.int64))
 
     text_batches(docs.sparkSession)
-    rows = docs.select("doc_id", "text", *[F.xxhash64("text").alias("th")] * text_hash)
-    return rows.mapInPandas(run, T.StructType([f for f in rows.schema if f.name != "text"]).add("fp", "long"))
+    doc_id, back = by_name(docs)
+    rows = docs.select(doc_id, "text", *[F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th")] * text_hash)
+    return back(rows.mapInPandas(run, T.StructType([f for f in rows.schema if f.name != "text"]).add("fp", "long")))
 
 
 def _signed(x: int) -> int:
@@ -240,7 +241,7 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radius
     place = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("d"), F.col("th").alias("t"))
     first = rows.join(classes, "fp").groupBy("root").agg(F.min(place).alias("p"))
     first = first.select(F.col("p.d").alias("_d"), F.col("p.t").alias("_t"))
-    own = docs.withColumn("_th", F.xxhash64("text"))
+    own = docs.withColumn("_th", F.coalesce(F.xxhash64("text"), F.lit(0)))
     kept = own.join(first, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")), "left_semi")
     # rows alike in id and text are one
     return kept.dropDuplicates(["doc_id", "_th"]).drop("_th")

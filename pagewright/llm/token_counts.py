@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import text_batches, written
+from .common import by_name, text_batches, written
 from .tokens import encoder
 
 DTYPE = "<u2"
@@ -34,7 +34,7 @@ def write_flat(docs: DataFrame, tokenizer: str, close: int = CLOSE, dtype: str =
     scan does not read them.
     """
     text_batches(docs.sparkSession)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    doc_id, back = by_name(docs)
 
     def run(batches):
         from pyspark import TaskContext
@@ -61,8 +61,8 @@ def write_flat(docs: DataFrame, tokenizer: str, close: int = CLOSE, dtype: str =
         if rest:
             yield pd({"file": [file], "doc_id": [None], "ordinal": [None], "block": [block], "data": [rest]})
 
-    schema = f"file long, doc_id {kind}, ordinal long, block long, data binary"
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    schema = "file long, doc_id string, ordinal long, block long, data binary"
+    return back(docs.select(doc_id, "text").mapInPandas(run, schema))
 
 
 def read_flat(spark: SparkSession, path: str, dtype: str = DTYPE, block_ids: int = BLOCK_IDS) -> DataFrame:

@@ -80,6 +80,26 @@ def test_components_of_chains_hubs_and_loops(spark):
     assert components.connected_components(df.limit(0)).count() == 0
 
 
+# --- ids
+
+
+def test_long_ids_keep_their_digits_beside_nulls(spark):
+    ids = [None, 9_007_199_254_740_993, -9_223_372_036_854_775_807, 5, None]
+    df = spark.createDataFrame([(k, "some text of a few words here", "en", None, 1) for k in ids], DOCS)
+    want = Counter(ids)
+    for out in (
+        packing.pack(df, tokenizer_path()),
+        token_counts.count_tokens(df, tokenizer_path()),
+        simhash.near_duplicates(df),
+        lm_score.score(df),
+        mixing.mix(df),
+        language_id.identify(df, tokenizer_path("byte_bpe_multi_50k.tiktoken")),
+        line_dedup.dedup_lines(df),
+    ):
+        assert out.schema["doc_id"].dataType.simpleString() == "bigint"
+        assert Counter(r["doc_id"] for r in out.collect()) == want
+
+
 # --- op1
 
 
