@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_batches
-from .tokens import Numbered
+from .tokens import Numbered, held
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Documents learned from, for each language at most.
@@ -224,9 +224,6 @@ class Judge:
         return pred, score
 
 
-_judge: list = ["", None]
-
-
 def predictor(spark, model: Model, token: str):
     """A function of a text column: ``struct<lang_pred, score>``. token names the model in the workers' caches."""
     kind = "lang_pred string, score double"
@@ -238,11 +235,9 @@ def predictor(spark, model: Model, token: str):
     def run(batches):
         import pandas as pd
 
-        if _judge[0] != token:
-            langs, p = sent.value
-            _judge[:] = [token, Judge(Model(langs, load_pieces(path), longest, p))]
+        judge = held(("judge", token), lambda: Judge(Model(sent.value[0], load_pieces(path), longest, sent.value[1])))
         for texts in batches:
-            pred, score = _judge[1](texts.tolist())
+            pred, score = judge(texts.tolist())
             yield pd.DataFrame({"lang_pred": pred, "score": score})
 
     from collections.abc import Iterator

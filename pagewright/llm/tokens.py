@@ -139,11 +139,17 @@ class WordEncoder:
         return self.many([text])[0]
 
 
-_encoders: dict = {}
+_held: list = [None, None]
+
+
+def held(key, make):
+    """What a worker keeps from task to task under a key: one thing, so that stages do not pile up in its memory."""
+    if _held[0] != key:
+        _held[:] = [None, None]  # the old one goes first
+        _held[:] = [key, make()]
+    return _held[1]
 
 
 def encoder(path: str, special: bool = True) -> WordEncoder:
-    """The worker's own encoder of a file, kept from task to task."""
-    if (path, special) not in _encoders:
-        _encoders[path, special] = WordEncoder(path, special)
-    return _encoders[path, special]
+    """The worker's own encoder of a file."""
+    return held(("encoder", path, special), lambda: WordEncoder(path, special))
