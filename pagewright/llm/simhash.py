@@ -8,10 +8,19 @@ Manhattan distance is RADIUS or less, so any two such points share a cell of the
 some choice of so many groups. In a cell the lower bound is taken on all coordinates, then
 the Hamming distance itself.
 
-Copies of a fingerprint are one point, and a cell passes on its links as stars, so
-no group yields all its pairs. A cell with more than HOT points is cut into blocks, and
+``keep_similar`` serves near copies in general, of five-word shingles with a similarity of 0.8
+or more, which 64 bits cannot tell: there a fingerprint has WORDS words over the set of shingles, cells are
+the points seen on random choices of coordinates, and links are verified on the sets themselves.
+
+Copies of a fingerprint are one point, and a cell passes on its links as stars or as a least
+spanning forest, so no group yields all its pairs. A cell with more than HOT points is cut into blocks, and
 pairs of blocks go to tasks of their own.
 
+The wide search is the only part that can lose a pair: two texts at 0.8 exactly differ in 39 of 256 bits in
+the mean, so under 0.1 % of such pairs differ in more than WIDE_RADIUS, and 0.5 % share none of the cells; both
+shares fall fast for closer texts. A cell with over DENSE links a point passes on the least spanning forest
+by distance; a member whose nearest ones all fail the exact check while a farther one would pass isn't linked.
+
 Defined cases: a null or empty text has fingerprint zero and is linked like any other; a
 null id is carried with the least other id of its class (null if there is none).
 Repeated rows have the same class.
@@ -35,31 +44,62 @@ RADIUS = 4
 BANDS = 7
 HOT = 20_000
 BLOCK = 4_096
+#: Wide fingerprints: words of 64 bits, shingle, least similarity, distance of candidates.
+WORDS = 4
+WIDE_SHINGLE = 5
+SIMILARITY = 0.8
+WIDE_RADIUS = 60
+#: Shuffles of all coordinates, cut into choices of CHOSEN; two texts at 0.8 agree on one with probability 0.044.
+SHUFFLES = 10
+CHOSEN = 10
+DENSE = 8
 #: A two-bit segment's count takes two bits: these hold all first and all second bits.
 LOW = 0x5555555555555555
 NIBBLES = 0x3333333333333333
 ONES = 0x1111111111111111
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """Majority of the bits of all shingles' XXH64."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; of the whole sequence where there are fewer words."""
     import xxhash
 
     words = text.encode().lower().split() if text else []  # of bytes: only A-Z, and only ASCII white space
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
+    h = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, seed)
+        return np.array([h(joined, seed)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    h = xxhash.xxh64_intdigest
-    each = [h(joined[a:b], seed) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
+    n = len(words) - shingle + 1
+    each = (h(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True))
+    return np.fromiter(each, np.uint64, n)
+
+
+def _majority(h: np.ndarray) -> np.uint64:
+    """The bits that are set in over half of h."""
     bits = np.zeros(64, np.int64)
-    for k in range(0, len(each), 1 << 16):
-        part = np.array(each[k : k + (1 << 16)], np.uint64)
-        bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * bits > len(each), bitorder="little").view(np.uint64)[0])
+    for k in range(0, len(h), 1 << 15):
+        part = np.ascontiguousarray(h[k : k + (1 << 15)])
+        bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return np.packbits(2 * bits > len(h), bitorder="little").view(np.uint64)[0]
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """Majority of the bits of all shingles' XXH64."""
+    return int(_majority(shingle_hashes(text, shingle, seed)))
+
+
+def wide_fingerprint(hashes: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """As many words of majorities, each of the hashes mixed anew (the finalizer of SplitMix64)."""
+    out = np.zeros(words, np.uint64)
+    for k in range(words):
+        x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out[k] = _majority(x ^ (x >> np.uint64(31)))
+    return out
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, text_hash: bool = False) -> DataFrame:
@@ -172,6 +212,20 @@ def cell_links(keys: list[np.ndarray], fp: np.ndarray, radius: int):
     return stars(np.concatenate(left), np.concatenate(right))
 
 
+def _spread(cells: DataFrame, point: str, hot: int) -> DataFrame:
+    """Add ``p, q``: 0, or the pair of blocks of a heavy cell; its points go to every pair that theirs is part of."""
+    heavy = written(cells.groupBy("grid", "cell").agg(F.count("*").alias("n")).where(F.col("n") > hot))
+    plain = cells.withColumns({"p": F.lit(0), "q": F.lit(0)})
+    if heavy.isEmpty():
+        return plain
+    blocks = F.ceil(F.col("n") / hot).cast("int")
+    own = F.pmod(F.xxhash64(point), blocks.cast("long")).cast("int")
+    both = cells.join(heavy, ["grid", "cell"]).withColumns({"k": own, "of": blocks})
+    both = both.select(*cells.columns, "k", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("other"))
+    both = both.select(*cells.columns, F.least("k", "other").alias("p"), F.greatest("k", "other").alias("q"))
+    return plain.join(heavy, ["grid", "cell"], "left_anti").unionByName(both)
+
+
 def links(fps: DataFrame, radius: int = RADIUS, bands: int = BANDS, hot: int = HOT) -> DataFrame:
     """Distinct ``fp`` to ``a, b`` links with the components of all links at radius or less."""
     spark = fps.sparkSession
@@ -180,17 +234,8 @@ def links(fps: DataFrame, radius: int = RADIUS, bands: int = BANDS, hot: int = H
     cells = fps.withColumn("_v", segment_counts(F.col("fp"))).select(
         "fp", F.posexplode(F.array(*[v.bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("grid", "cell")
     )
-    heavy = written(cells.groupBy("grid", "cell").agg(F.count("*").alias("n")).where(F.col("n") > hot))
-    cells = cells.withColumns({"p": F.lit(0), "q": F.lit(0), "side": F.lit(0)})
+    cells = _spread(cells, "fp", hot)
     keys = ["grid", "cell", "p", "q"]
-    if not heavy.isEmpty():
-        # points of a heavy cell go to every pair of blocks that theirs is part of
-        blocks = F.ceil(F.col("n") / hot).cast("int")
-        own = F.pmod(F.xxhash64("fp"), blocks.cast("long")).cast("int")
-        both = cells.drop("p", "q", "side").join(heavy, ["grid", "cell"]).withColumns({"k": own, "of": blocks})
-        both = both.select("fp", "grid", "cell", "k", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("other"))
-        both = both.select("fp", "grid", "cell", F.least("k", "other").alias("p"), F.greatest("k", "other").alias("q"), (F.col("k") > F.col("other")).cast("int").alias("side"))
-        cells = cells.join(heavy, ["grid", "cell"], "left_anti").unionByName(both)
 
     def run(batches):
         rest = None
@@ -213,6 +258,163 @@ def links(fps: DataFrame, radius: int = RADIUS, bands: int = BANDS, hot: int = H
     return sorted_cells.select(*keys, "fp").mapInArrow(run, "a long, b long").distinct()
 
 
+def wide_masks(words: int = WORDS, shuffles: int = SHUFFLES, chosen: int = CHOSEN) -> list[list[int]]:
+    """Choices of so many coordinates, disjoint within a shuffle of them all: for each, a mask of every word."""
+    rng, out = np.random.default_rng(SEED), []
+    for _ in range(shuffles):
+        order = rng.permutation(32 * words)
+        for some in np.split(order[: len(order) // chosen * chosen], len(order) // chosen):
+            out.append([sum(3 << (2 * int(k % 32)) for k in some if k // 32 == w) for w in range(words)])
+    return out
+
+
+def _wide_distance(x: np.ndarray, y: np.ndarray, radius: int):
+    """Rows of fingerprints at most radius apart, and how far: the bound on counts first, then the bits."""
+    bound = sum(manhattan(_points(x[:, k]), _points(y[:, k])) for k in range(x.shape[1]))
+    near = np.flatnonzero(bound <= radius)
+    d = np.bitwise_count(x[near].view(np.uint64) ^ y[near].view(np.uint64)).sum(axis=1, dtype=np.int64)
+    return near[d <= radius], d[d <= radius]
+
+
+def forest(a: np.ndarray, b: np.ndarray, d: np.ndarray):
+    """A least spanning forest of the links by (d, a, b), after Boruvka."""
+    order = np.lexsort((b, a, d))
+    a, b, d = a[order], b[order], d[order]
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = ends[: len(a)], ends[len(a) :]
+    root = np.arange(len(nodes))
+    left, took = np.arange(len(a)), []
+    while len(left := left[root[u[left]] != root[v[left]]]):
+        first = np.full(len(nodes), len(a))
+        np.minimum.at(first, root[u[left]], left)
+        np.minimum.at(first, root[v[left]], left)
+        best = np.unique(first[first < len(a)])
+        took.append(best)
+        x, least = stars(root[u[best]], root[v[best]])
+        moved = np.arange(len(nodes))
+        moved[x] = least
+        root = moved[root]
+    took = np.concatenate(took) if took else left
+    return a[took], b[took], d[took]
+
+
+def wide_cell_links(keys: list[np.ndarray], node: np.ndarray, fp: np.ndarray, radius: int, dense: int = DENSE):
+    """Links ``(a, b)``, a < b, of the runs of equal keys of sorted rows: all, or a forest of so many."""
+    n = len(node)
+    new = np.ones(n, bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    run = np.cumsum(new) - 1
+    found, held = [], 0
+
+    def add(i, j, d):
+        nonlocal found, held
+        low, high = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+        found.append((low[low != high], high[low != high], d[low != high]))
+        held += len(d)
+        if held > 1 << 20:
+            found = [thinned()]
+            held = len(found[0][0])
+
+    def thinned():
+        a, b, d = (np.concatenate(x) for x in zip(*found, strict=True))
+        if len(a) <= dense * len(np.unique(np.concatenate([a, b]))):
+            return a, b, d
+        return forest(a, b, d)
+
+    at, step = np.arange(n), 1
+    while len(at := at[at + step < n]) and len(at := at[run[at] == run[at + step]]):
+        for k in range(0, len(at), 1 << 17):
+            i = at[k : k + (1 << 17)]
+            near, d = _wide_distance(fp[i], fp[i + step], radius)
+            add(i[near], i[near] + step, d)
+        step += 1
+    if not held:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return thinned()[:2]
+
+
+def wide_links(points: DataFrame, radius: int = WIDE_RADIUS, shuffles: int = SHUFFLES, chosen: int = CHOSEN, hot: int = BLOCK) -> DataFrame:
+    """Candidates ``a, b`` (nodes, a < b) of distinct ``node, f0, f1, ...``."""
+    words = [c for c in points.columns if c != "node"]
+    seen = points.select("*", *[segment_counts(F.col(w)).alias(f"v{k}") for k, w in enumerate(words)])
+    masks = wide_masks(len(words), shuffles, chosen)
+    each = [F.xxhash64(*[F.col(f"v{k}").bitwiseAND(F.lit(_signed(m))) for k, m in enumerate(some) if m]) for some in masks]
+    cells = seen.select("node", *words, F.posexplode(F.array(*each)).alias("grid", "cell"))
+    keys = ["grid", "cell", "p", "q"]
+    cells = _spread(cells, "node", hot)
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]
+            if rest is not None:
+                cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
+            last = np.all([c == c[-1] for c in cols[:4]], axis=0)  # the last cell may go on
+            rest = [c[last] for c in cols]
+            yield linked([c[~last] for c in cols])
+        if rest is not None:
+            yield linked(rest)
+
+    def linked(cols):
+        a, b = wide_cell_links(cols[:4], cols[4], np.stack(cols[5:], axis=1), radius)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    import pyarrow as pa
+
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = cells.repartition(n, *keys).sortWithinPartitions(*keys).select(*keys, "node", *words)
+    return cells.mapInArrow(run, "a long, b long").distinct()
+
+
+def wide_fingerprints(docs: DataFrame, shingle: int = WIDE_SHINGLE, seed: int = SEED, words: int = WORDS) -> DataFrame:
+    """``doc_id, th, node, f0, f1, ...``; node is a hash of the set of shingles, th one of the text."""
+    names = [f"f{k}" for k in range(words)]
+
+    def run(batches):
+        import xxhash
+
+        for pdf in batches:
+            sets = (np.unique(shingle_hashes(t, shingle, seed)) for t in pdf["text"])
+            got = [(xxhash.xxh64_intdigest(s.tobytes(), seed), *wide_fingerprint(s, words).tolist()) for s in sets]
+            got = np.array(got, np.uint64).reshape(-1, words + 1).view(np.int64)
+            yield pdf.drop(columns="text").assign(node=got[:, 0], **{c: got[:, k + 1] for k, c in enumerate(names)})
+
+    text_batches(docs.sparkSession)
+    doc_id, back = by_name(docs)
+    rows = docs.select(doc_id, "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th"))
+    out = T.StructType([f for f in rows.schema if f.name != "text"])
+    for c in ("node", *names):
+        out = out.add(c, "long")
+    return back(rows.mapInPandas(run, out))
+
+
+def verified_links(docs: DataFrame, places: DataFrame, edges: DataFrame, similarity: float, shingle: int = WIDE_SHINGLE, seed: int = SEED) -> DataFrame:
+    """The candidates whose sets of shingles have that Jaccard similarity or more.
+
+    ``places`` are ``node, _d, _t``: a row of docs with the node's set, by doc_id and hash of its text.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf[["node"]].assign(s=[np.unique(shingle_hashes(t, shingle, seed)).view(np.int64) for t in pdf["text"]])
+
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = places.join(nodes, "node", "left_semi")
+    own = docs.select("doc_id", "text").withColumn("_th", F.coalesce(F.xxhash64("text"), F.lit(0)))
+    texts = own.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")))
+    sets = texts.select("node", "text").mapInPandas(run, "node long, s array<long>")
+    sets = written(sets.dropDuplicates(["node"]))
+    pairs = edges.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a")
+    pairs = pairs.join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return pairs.where(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
+def _place():
+    """Orders the rows of a class: ids first, then hashes of texts."""
+    return F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("d"), F.col("th").alias("t"))
+
+
 def _classes(rows: DataFrame, radius: int, bands: int, hot: int) -> DataFrame:
     """``fp, root, component_id`` of the fingerprints of ``doc_id, fp`` rows."""
     points = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
@@ -238,10 +440,28 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radius
     """
     rows = written(fingerprints(docs.select("doc_id", "text"), shingle, seed, text_hash=True))
     classes = _classes(rows.select("doc_id", "fp"), radius, bands, hot)
-    place = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("d"), F.col("th").alias("t"))
-    first = rows.join(classes, "fp").groupBy("root").agg(F.min(place).alias("p"))
+    return _only(docs, rows.join(classes, "fp").groupBy("root").agg(F.min(_place()).alias("p")))
+
+
+def _only(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """The rows of docs at the places ``p``."""
     first = first.select(F.col("p.d").alias("_d"), F.col("p.t").alias("_t"))
     own = docs.withColumn("_th", F.coalesce(F.xxhash64("text"), F.lit(0)))
     kept = own.join(first, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")), "left_semi")
     # rows alike in id and text are one
     return kept.dropDuplicates(["doc_id", "_th"]).drop("_th")
+
+
+def keep_similar(docs: DataFrame, shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY, seed: int = SEED, radius: int = WIDE_RADIUS, hot: int = BLOCK) -> DataFrame:
+    """As keep_first, with classes of texts linked by the similarity of their sets of shingles.
+
+    Texts with equal sets are alike; those without a word, too.
+    """
+    rows = written(wide_fingerprints(docs.select("doc_id", "text"), shingle, seed))
+    words = [c for c in rows.columns if c[0] == "f"]
+    points = written(rows.groupBy("node").agg(*[F.min(c).alias(c) for c in words], F.min(_place()).alias("p")))
+    edges = written(wide_links(points.select("node", *words), radius, hot=hot))
+    places = points.select("node", F.col("p.d").alias("_d"), F.col("p.t").alias("_t"))
+    roots = connected_components(verified_links(docs, places, edges, similarity, shingle, seed))
+    member = points.select("node", "p").join(roots, "node", "left")
+    return _only(docs, member.groupBy(F.coalesce("root", "node")).agg(F.min("p").alias("p")))

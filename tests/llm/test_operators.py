@@ -485,6 +485,85 @@ def test_large_runs_keep_all_components():
     assert {int(x): got.get(int(x), int(x)) for x in fp} == want
 
 
+def brute_similar(texts, shingle=5, least=0.8):
+    """doc_id to the least id reachable by links of that Jaccard similarity."""
+    sets = {}
+    for doc, text in texts.items():
+        words = (text or "").encode().lower().split()
+        sets[doc] = {tuple(words[k : k + shingle]) for k in range(max(len(words) - shingle + 1, 1))} if words else set()
+    root = {doc: doc for doc in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(texts)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            x, y = sets[a], sets[b]
+            if x == y or (min(len(x), len(y)) >= least * max(len(x), len(y)) and len(x & y) >= least * len(x | y)):
+                u, v = sorted((find(a), find(b)))
+                root[v] = u
+    return {doc: find(doc) for doc in texts}
+
+
+def near_copies(n, seed):
+    """Texts of random words; copies with some words changed, over all similarities; a chain of edits; a hot group."""
+    rng = np.random.default_rng(seed)
+    word = lambda k: [f"w{x}" for x in rng.integers(0, 5000, k)]
+    out = []
+    for _ in range(n):
+        base = word(int(rng.integers(6, 400)))
+        out.append(base)
+        for share in (0.0, 0.01, 0.02, 0.05):
+            out.append([w if rng.random() >= share else f"x{rng.integers(1 << 30)}" for w in base])
+    chain = word(200)
+    for k in range(8):
+        chain = [*chain[:k * 20], f"y{k}", *chain[k * 20 + 1:]]
+        out.append(chain)
+    hot = word(150)
+    out += [[*hot[:k], f"z{k}", *hot[k + 1:]] for k in range(120)]
+    return {k: " ".join(t) for k, t in enumerate(out)}
+
+
+def test_keep_similar_agrees_with_brute_force(spark):
+    texts = near_copies(60, 3) | {-1: "", -2: None, -3: "one two", -4: "One  two"}
+    df = spark.createDataFrame([*texts.items()], "doc_id long, text string").withColumn("f0", F.lit(1)).withColumn("node", F.lit("x"))
+    want = sorted({*brute_similar(texts).values()})
+    for hot in (simhash.BLOCK, 40):
+        kept = simhash.keep_similar(df, hot=hot)
+        assert kept.columns == df.columns
+        assert sorted(r["doc_id"] for r in kept.collect()) == want
+    assert simhash.keep_similar(df.limit(0)).count() == 0
+    odd = spark.createDataFrame([(None, "a b"), (None, "a b"), (1, "c d e f g"), (1, "c d e f g"), (1, "q r s t u v")], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in simhash.keep_similar(odd).collect()) == [(0, "a b"), (1, "c d e f g"), (1, "q r s t u v")]
+
+
+def test_wide_search_finds_pairs_at_the_threshold():
+    rng = np.random.default_rng(5)
+    radius, masks, n, found = simhash.WIDE_RADIUS, simhash.wide_masks(), 400, 0
+    for _ in range(n):
+        h = rng.integers(0, 1 << 64, 225, dtype=np.uint64)
+        a, b = (simhash.wide_fingerprint(np.unique(x)) for x in (h[:200], np.concatenate([h[:178], h[200:222]])))  # 178 of 222: 0.802
+        counts = lambda x: [np.uint64(v) for v in simhash._points(x.view(np.int64))]
+        meet = any(all(int(p ^ q) & m == 0 for p, q, m in zip(counts(a), counts(b), some, strict=True)) for some in masks)
+        found += meet and int(np.bitwise_count(a ^ b).sum()) <= radius
+    assert found >= 0.98 * n
+
+
+def test_forest_keeps_components_at_every_distance():
+    rng = np.random.default_rng(6)
+    pairs = np.unique(np.sort(rng.integers(0, 60, (400, 2)), axis=1), axis=0)
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    d = rng.integers(0, 10, len(pairs))
+    a, b, kept = simhash.forest(pairs[:, 0], pairs[:, 1], d)
+    assert len(a) <= 59
+    for most in range(11):
+        x, y = d < most, kept < most
+        assert sorted(zip(*map(np.ndarray.tolist, simhash.stars(*pairs[x].T)), strict=True)) == sorted(zip(*map(np.ndarray.tolist, simhash.stars(a[y], b[y])), strict=True))
+
+
 # --- op9
 
 
