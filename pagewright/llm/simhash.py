@@ -9,17 +9,16 @@ some choice of so many groups. In a cell the lower bound is taken on all coordin
 the Hamming distance itself.
 
 ``keep_similar`` serves near copies in general, of five-word shingles with a similarity of 0.8
-or more, which 64 bits cannot tell: there a fingerprint has WORDS words over the set of shingles, cells are
-the points seen on random choices of coordinates, and links are verified on the sets themselves.
+or more, which 64 bits cannot tell. It works on the sets themselves and loses no pair: two sets so similar share
+one of the rarest shingles of each (a fifth of a set, and one more), so pairs are taken from the lists of those
+shingles, where sizes and places in the order allow the similarity, and each pair is verified. A few pairs of each list
+come first; what they link is one group, and then every pair of unlike groups is tried.
 
-Copies of a fingerprint are one point, and a cell passes on its links as stars or as a least
-spanning forest, so no group yields all its pairs. A cell with more than HOT points is cut into blocks, and
-pairs of blocks go to tasks of their own.
+Copies of a fingerprint or set are one point, and a cell of fingerprints passes on its links as stars. A cell with
+more than HOT points, or a list of more than BLOCK sets, is cut into blocks, and pairs of blocks go to tasks of their own.
 
-The wide search is the only part that can lose a pair: two texts at 0.8 exactly differ in 39 of 256 bits in
-the mean, so under 0.1 % of such pairs differ in more than WIDE_RADIUS, and 0.5 % share none of the cells; both
-shares are calculated for independent bits; in groups of kin up to 1 % of pairs at 0.87 were missed (README). A cell with over DENSE links a point passes on the least spanning forest
-by distance; a member whose nearest ones all fail the exact check while a farther one would pass isn't linked.
+Wide fingerprints (``wide_fingerprint``, ``wide_masks``, ``forest``) are no longer part of any query: their search
+is random and misses pairs.
 
 Defined cases: a null or empty text has fingerprint zero and is linked like any other; a
 null id is carried with the least other id of its class (null if there is none).
@@ -52,7 +51,8 @@ WIDE_RADIUS = 60
 #: Shuffles of all coordinates, cut into choices of CHOSEN; two texts at 0.8 agree on one with probability 0.044.
 SHUFFLES = 10
 CHOSEN = 10
-DENSE = 8
+#: Counts of shingles are kept for so many buckets of their hashes.
+BUCKETS = 1 << 19
 #: A two-bit segment's count takes two bits: these hold all first and all second bits.
 LOW = 0x5555555555555555
 NIBBLES = 0x3333333333333333
@@ -212,9 +212,12 @@ def cell_links(keys: list[np.ndarray], fp: np.ndarray, radius: int):
     return stars(np.concatenate(left), np.concatenate(right))
 
 
-def _spread(cells: DataFrame, point: str, hot: int) -> DataFrame:
-    """Add ``p, q``: 0, or the pair of blocks of a heavy cell; its points go to every pair that theirs is part of."""
-    heavy = written(cells.groupBy("grid", "cell").agg(F.count("*").alias("n")).where(F.col("n") > hot))
+def _spread(cells: DataFrame, point: str, hot: int, maybe: DataFrame | None = None) -> DataFrame:
+    """Add ``p, q``: 0, or the pair of blocks of a heavy cell; its points go to every pair that theirs is part of.
+
+    ``maybe``: those of the cells that can be heavy, where that is known.
+    """
+    heavy = written((cells if maybe is None else maybe).groupBy("grid", "cell").agg(F.count("*").alias("n")).where(F.col("n") > hot))
     plain = cells.withColumns({"p": F.lit(0), "q": F.lit(0)})
     if heavy.isEmpty():
         return plain
@@ -268,14 +271,6 @@ def wide_masks(words: int = WORDS, shuffles: int = SHUFFLES, chosen: int = CHOSE
     return out
 
 
-def _wide_distance(x: np.ndarray, y: np.ndarray, radius: int):
-    """Rows of fingerprints at most radius apart, and how far: the bound on counts first, then the bits."""
-    bound = sum(manhattan(_points(x[:, k]), _points(y[:, k])) for k in range(x.shape[1]))
-    near = np.flatnonzero(bound <= radius)
-    d = np.bitwise_count(x[near].view(np.uint64) ^ y[near].view(np.uint64)).sum(axis=1, dtype=np.int64)
-    return near[d <= radius], d[d <= radius]
-
-
 def forest(a: np.ndarray, b: np.ndarray, d: np.ndarray):
     """A least spanning forest of the links by (d, a, b), after Boruvka."""
     order = np.lexsort((b, a, d))
@@ -298,50 +293,148 @@ def forest(a: np.ndarray, b: np.ndarray, d: np.ndarray):
     return a[took], b[took], d[took]
 
 
-def wide_cell_links(keys: list[np.ndarray], node: np.ndarray, fp: np.ndarray, radius: int, dense: int = DENSE):
-    """Links ``(a, b)``, a < b, of the runs of equal keys of sorted rows: all, or a forest of so many."""
-    n = len(node)
-    new = np.ones(n, bool)
+def shingle_nodes(docs: DataFrame, shingle: int = WIDE_SHINGLE, seed: int = SEED) -> DataFrame:
+    """``doc_id, th, node``; node is a hash of the set of shingles, th one of the text."""
+
+    def run(batches):
+        import xxhash
+
+        for pdf in batches:
+            got = [xxhash.xxh64_intdigest(np.unique(shingle_hashes(t, shingle, seed)).tobytes(), seed) for t in pdf["text"]]
+            yield pdf.drop(columns="text").assign(node=np.array(got, np.uint64).view(np.int64))
+
+    text_batches(docs.sparkSession)
+    doc_id, back = by_name(docs)
+    rows = docs.select(doc_id, "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th"))
+    return back(rows.mapInPandas(run, T.StructType([f for f in rows.schema if f.name != "text"]).add("node", "long")))
+
+
+def shingle_sets(docs: DataFrame, places: DataFrame, shingle: int = WIDE_SHINGLE, seed: int = SEED) -> DataFrame:
+    """``node, s``: the set of each node once; places are ``node, _d, _t``, a row of docs by doc_id and hash of its text."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf[["node"]].assign(s=[np.unique(shingle_hashes(t, shingle, seed)).view(np.int64) for t in pdf["text"]])
+
+    text_batches(docs.sparkSession)
+    key = lambda c: {"_no": F.col(c).isNull(), "_id": F.coalesce(F.col(c).cast("string"), F.lit(""))}
+    own = docs.select("doc_id", "text").withColumns({**key("doc_id"), "_t": F.coalesce(F.xxhash64("text"), F.lit(0))})
+    own = own.drop("doc_id").join(places.withColumns(key("_d")).drop("_d"), ["_no", "_id", "_t"])
+    # rows alike in id and text are one
+    return own.dropDuplicates(["_no", "_id", "_t"]).select("node", "text").mapInPandas(run, "node long, s array<long>")
+
+
+def _bucket(x: np.ndarray, buckets: int) -> np.ndarray:
+    return (x.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+
+
+def bucket_counts(sets: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+    """How many sets hold the shingles of each bucket; each task sends one sum a bucket, in slices."""
+
+    def run(batches):
+        total, pd = np.zeros(buckets, np.int64), None
+        for pdf in batches:
+            pd = pdf.__class__
+            if len(pdf):
+                flat = np.concatenate(pdf["s"].to_list()).astype(np.int64)
+                total += np.bincount(_bucket(flat, buckets), minlength=buckets)
+        if pd:
+            for k in range(0, buckets, 4096):
+                yield pd({"part": [k // 4096], "n": [total[k : k + 4096]]})
+
+    def add(pdf):
+        return pdf.iloc[:1].assign(n=[np.sum(np.stack(pdf["n"]), axis=0)])
+
+    kind = "part int, n array<long>"
+    out = np.zeros(buckets, np.int64)
+    for r in sets.select("s").mapInPandas(run, kind).groupBy("part").applyInPandas(add, kind).collect():
+        out[r["part"] * 4096 : r["part"] * 4096 + len(r["n"])] = r["n"]
+    return out
+
+
+def prefix(x: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The rarest shingles of a set, as many as another set of that similarity must share one of.
+
+    Any order that is the same for all sets is right; counts of buckets put common shingles last.
+    """
+    rare = np.lexsort((x, counts[_bucket(x, len(counts))]))
+    return x[rare[: int(len(x) - similarity * len(x) + 1e-9) + 1]]
+
+
+def pair_candidates(keys: list[np.ndarray], node: np.ndarray, n: np.ndarray, at: np.ndarray, group: np.ndarray, similarity: float, first: bool):
+    """Yield ``(a, b)``, a < b, of the runs of equal keys; rows are sorted by keys, n.
+
+    Pairs whose sizes or places in the order rule the similarity out, and those of one group, are left out.
+    first: only pairs of neighbours, and those with the first of a run.
+    """
+    new = np.ones(len(node), bool)
     new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
     run = np.cumsum(new) - 1
+    starts = np.flatnonzero(new)
     found, held = [], 0
 
-    def add(i, j, d):
-        nonlocal found, held
-        low, high = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-        found.append((low[low != high], high[low != high], d[low != high]))
-        held += len(d)
-        if held > 1 << 20:
-            found = [thinned()]
-            held = len(found[0][0])
-
-    def thinned():
-        a, b, d = (np.concatenate(x) for x in zip(*found, strict=True))
-        if len(a) <= dense * len(np.unique(np.concatenate([a, b]))):
-            return a, b, d
-        return forest(a, b, d)
-
-    at, step = np.arange(n), 1
-    while len(at := at[at + step < n]) and len(at := at[run[at] == run[at + step]]):
-        for k in range(0, len(at), 1 << 17):
-            i = at[k : k + (1 << 17)]
-            near, d = _wide_distance(fp[i], fp[i + step], radius)
-            add(i[near], i[near] + step, d)
+    def fitting(i, j):
+        most = np.minimum(n[i] - at[i], n[j] - at[j]).astype(np.int64)  # in common, where this is the first
+        ok = (most >= similarity * (n[i] + n[j] - most) - 1e-6) & (group[i] != group[j])
+        i, j = i[ok], j[ok]
+        return np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])])
+
+    i, step = np.arange(len(node)), 1
+    while len(i := i[i + step < len(node)]) and len(i := i[run[i] == run[i + step]]):
+        i = i[n[i] >= similarity * n[i + step] - 1e-6]  # sizes only grow from here
+        for k in range(0, len(i), 1 << 18):
+            found.append(fitting(i[k : k + (1 << 18)], i[k : k + (1 << 18)] + step))
+            held += found[-1].shape[1]
+            if held > 1 << 20:
+                yield np.unique(np.concatenate(found, axis=1), axis=1)
+                found, held = [], 0
+        if first:
+            j = np.arange(len(node))
+            j = j[starts[run] < j]
+            h = starts[run[j]]
+            fits = n[h] >= similarity * n[j] - 1e-6
+            found.append(fitting(h[fits], j[fits]))
+            break
         step += 1
-    if not held:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return thinned()[:2]
+    if found:
+        yield np.unique(np.concatenate(found, axis=1), axis=1)
 
 
-def wide_links(points: DataFrame, radius: int = WIDE_RADIUS, shuffles: int = SHUFFLES, chosen: int = CHOSEN, hot: int = BLOCK) -> DataFrame:
-    """Candidates ``a, b`` (nodes, a < b) of distinct ``node, f0, f1, ...``."""
-    words = [c for c in points.columns if c != "node"]
-    seen = points.select("*", *[segment_counts(F.col(w)).alias(f"v{k}") for k, w in enumerate(words)])
-    masks = wide_masks(len(words), shuffles, chosen)
-    each = [F.xxhash64(*[F.col(f"v{k}").bitwiseAND(F.lit(_signed(m))) for k, m in enumerate(some) if m]) for some in masks]
-    cells = seen.select("node", *words, F.posexplode(F.array(*each)).alias("grid", "cell"))
+def candidates(sets: DataFrame, counts, similarity: float, groups: DataFrame | None = None, hot: int = BLOCK) -> DataFrame:
+    """Distinct candidates ``a, b`` (nodes, a < b) that share a shingle of their prefixes.
+
+    Without ``groups`` (``node, root``) only a few of each shingle's pairs; with them all pairs of unlike groups,
+    so that the sets of any similar pair are among them or in one group.
+    """
+    import pyarrow as pa
+
+    entry, first = "node long, size int, at int, cell long, root long, grid int", groups is None
+    whole = sets.withColumn("root", F.col("node"))
+    if groups is not None:
+        whole = sets.join(groups, "node", "left").select("node", "s", F.coalesce("root", "node").alias("root"))
+
+    def entries(least):
+        def run(batches):
+            c = counts.value
+            for pdf in batches:
+                got = [prefix(x, c, similarity) if len(x) else x for x in pdf["s"]]
+                size = np.array([len(g) for g in got], np.int64)
+                flat = np.concatenate(got) if size.sum() else np.zeros(0, np.int64)
+                out = pdf.__class__({
+                    "node": np.repeat(pdf["node"].to_numpy(np.int64), size), "size": np.repeat([len(x) for x in pdf["s"]], size).astype(np.int32),
+                    "at": (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32), "cell": flat,
+                    "root": np.repeat(pdf["root"].to_numpy(np.int64), size), "grid": np.int32(0),
+                })
+                if least:
+                    out = out[c[_bucket(flat, len(c))] > least]
+                yield out
+
+        return whole.mapInPandas(run, entry)
+
     keys = ["grid", "cell", "p", "q"]
-    cells = _spread(cells, "node", hot)
+    # only a bucket with more than hot sets can hold a shingle that has so many
+    cells = _spread(entries(0), "node", hot, entries(hot))
+    order = [*keys[1:], "node", "size", "at", "root"]
 
     def run(batches):
         rest = None
@@ -349,61 +442,23 @@ def wide_links(points: DataFrame, radius: int = WIDE_RADIUS, shuffles: int = SHU
             cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]
             if rest is not None:
                 cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
-            last = np.all([c == c[-1] for c in cols[:4]], axis=0)  # the last cell may go on
+            last = np.all([c == c[-1] for c in cols[:3]], axis=0)  # the last cell may go on
             rest = [c[last] for c in cols]
-            yield linked([c[~last] for c in cols])
+            yield from linked([c[~last] for c in cols])
         if rest is not None:
-            yield linked(rest)
+            yield from linked(rest)
 
     def linked(cols):
-        a, b = wide_cell_links(cols[:4], cols[4], np.stack(cols[5:], axis=1), radius)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    import pyarrow as pa
+        for a, b in pair_candidates(cols[:3], *cols[3:], similarity, first):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = cells.repartition(n, *keys).sortWithinPartitions(*keys).select(*keys, "node", *words)
+    k = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = cells.repartition(k, *keys[1:]).sortWithinPartitions(*keys[1:], "size", "node").select(*order)
     return cells.mapInArrow(run, "a long, b long").distinct()
 
 
-def wide_fingerprints(docs: DataFrame, shingle: int = WIDE_SHINGLE, seed: int = SEED, words: int = WORDS) -> DataFrame:
-    """``doc_id, th, node, f0, f1, ...``; node is a hash of the set of shingles, th one of the text."""
-    names = [f"f{k}" for k in range(words)]
-
-    def run(batches):
-        import xxhash
-
-        for pdf in batches:
-            sets = (np.unique(shingle_hashes(t, shingle, seed)) for t in pdf["text"])
-            got = [(xxhash.xxh64_intdigest(s.tobytes(), seed), *wide_fingerprint(s, words).tolist()) for s in sets]
-            got = np.array(got, np.uint64).reshape(-1, words + 1).view(np.int64)
-            yield pdf.drop(columns="text").assign(node=got[:, 0], **{c: got[:, k + 1] for k, c in enumerate(names)})
-
-    text_batches(docs.sparkSession)
-    doc_id, back = by_name(docs)
-    rows = docs.select(doc_id, "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th"))
-    out = T.StructType([f for f in rows.schema if f.name != "text"])
-    for c in ("node", *names):
-        out = out.add(c, "long")
-    return back(rows.mapInPandas(run, out))
-
-
-def verified_links(docs: DataFrame, places: DataFrame, edges: DataFrame, similarity: float, shingle: int = WIDE_SHINGLE, seed: int = SEED) -> DataFrame:
-    """The candidates whose sets of shingles have that Jaccard similarity or more.
-
-    ``places`` are ``node, _d, _t``: a row of docs with the node's set, by doc_id and hash of its text.
-    """
-
-    def run(batches):
-        for pdf in batches:
-            yield pdf[["node"]].assign(s=[np.unique(shingle_hashes(t, shingle, seed)).view(np.int64) for t in pdf["text"]])
-
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = places.join(nodes, "node", "left_semi")
-    own = docs.select("doc_id", "text").withColumn("_th", F.coalesce(F.xxhash64("text"), F.lit(0)))
-    texts = own.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")))
-    sets = texts.select("node", "text").mapInPandas(run, "node long, s array<long>")
-    sets = written(sets.dropDuplicates(["node"]))
+def verified_links(sets: DataFrame, edges: DataFrame, similarity: float) -> DataFrame:
+    """The candidates whose sets of shingles have that Jaccard similarity or more."""
     pairs = edges.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a")
     pairs = pairs.join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
@@ -452,16 +507,19 @@ def _only(docs: DataFrame, first: DataFrame) -> DataFrame:
     return kept.dropDuplicates(["doc_id", "_th"]).drop("_th")
 
 
-def keep_similar(docs: DataFrame, shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY, seed: int = SEED, radius: int = WIDE_RADIUS, hot: int = BLOCK) -> DataFrame:
+def keep_similar(docs: DataFrame, shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY, seed: int = SEED, hot: int = BLOCK) -> DataFrame:
     """As keep_first, with classes of texts linked by the similarity of their sets of shingles.
 
     Texts with equal sets are alike; those without a word, too.
     """
-    rows = written(wide_fingerprints(docs.select("doc_id", "text"), shingle, seed))
-    words = [c for c in rows.columns if c[0] == "f"]
-    points = written(rows.groupBy("node").agg(*[F.min(c).alias(c) for c in words], F.min(_place()).alias("p")))
-    edges = written(wide_links(points.select("node", *words), radius, hot=hot))
+    rows = written(shingle_nodes(docs.select("doc_id", "text"), shingle, seed))
+    points = written(rows.groupBy("node").agg(F.min(_place()).alias("p")))
     places = points.select("node", F.col("p.d").alias("_d"), F.col("p.t").alias("_t"))
-    roots = connected_components(verified_links(docs, places, edges, similarity, shingle, seed))
+    sets = written(shingle_sets(docs, places, shingle, seed))
+    counts = docs.sparkSession.sparkContext.broadcast(bucket_counts(sets))  # BUCKETS numbers
+    some = written(verified_links(sets, candidates(sets, counts, similarity, hot=hot), similarity))
+    groups = written(connected_components(some))
+    rest = verified_links(sets, candidates(sets, counts, similarity, groups, hot), similarity)
+    roots = connected_components(some.unionAll(rest))
     member = points.select("node", "p").join(roots, "node", "left")
     return _only(docs, member.groupBy(F.coalesce("root", "node")).agg(F.min("p").alias("p")))

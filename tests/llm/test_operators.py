@@ -540,6 +540,27 @@ def test_keep_similar_agrees_with_brute_force(spark):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in simhash.keep_similar(odd).collect()) == [(0, "a b"), (1, "c d e f g"), (1, "q r s t u v")]
 
 
+def edits(n, seed):
+    """One original, and edits of it that are similar to it but seldom to each other."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{k}" for k in range(204)]  # 200 shingles
+    out = [base]
+    for k in range(n):
+        text = list(base)
+        for at in rng.choice(40, 4, replace=False):  # each change alters five shingles: 180 of 220 stay
+            text[2 + 5 * int(at)] = f"x{k}.{at}"
+        out.append(text)
+    return {k: " ".join(t) for k, t in enumerate(out)}
+
+
+def test_keep_similar_tries_every_candidate_of_a_group_of_edits(spark):
+    texts = edits(400, 7)
+    assert {*brute_similar(texts).values()} == {0}
+    for order in (1, -1):  # the original has the least id or the greatest
+        df = spark.createDataFrame([(order * k, t) for k, t in texts.items()], "doc_id long, text string")
+        assert simhash.keep_similar(df).count() == 1
+
+
 def test_wide_search_finds_pairs_at_the_threshold():
     rng = np.random.default_rng(5)
     radius, masks, n, found = simhash.WIDE_RADIUS, simhash.wide_masks(), 400, 0
