@@ -561,6 +561,13 @@ def test_keep_similar_tries_every_candidate_of_a_group_of_edits(spark):
         assert simhash.keep_similar(df).count() == 1
 
 
+def test_keep_similar_finds_pairs_of_short_texts(spark):
+    text = lambda k, m: " ".join(f"a{k}.{j}" for j in range(m))
+    texts = {k: text(k // 2, 8 + k % 2) for k in range(600)}  # 4 and 5 shingles
+    df = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_similar(df).collect()) == sorted({*brute_similar(texts).values()}) == [2 * k for k in range(300)]
+
+
 def test_wide_search_finds_pairs_at_the_threshold():
     rng = np.random.default_rng(5)
     radius, masks, n, found = simhash.WIDE_RADIUS, simhash.wide_masks(), 400, 0
