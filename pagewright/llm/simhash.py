@@ -459,6 +459,9 @@ def candidates(sets: DataFrame, counts, similarity: float, groups: DataFrame | N
 
 def verified_links(sets: DataFrame, edges: DataFrame, similarity: float) -> DataFrame:
     """The candidates whose sets of shingles have that Jaccard similarity or more."""
+    edges = written(edges)
+    nodes = written(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    sets = written(sets.join(nodes, "node", "left_semi"))  # most sets are in no pair
     pairs = edges.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a")
     pairs = pairs.join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
