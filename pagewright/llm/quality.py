@@ -19,13 +19,14 @@ from pyspark.sql import functions as F
 from .common import SPACE, written
 
 BUCKETS = 1 << 13
-#: Trusted documents that the target multinomial is fitted on, at most.
+#: Trusted documents that the target multinomial is fitted on, at most; the threshold is over all of them.
 TRUSTED = 10_000
 SMOOTHING = 1.0
 #: The threshold: this quantile of the trusted documents' scores, less MARGIN.
 QUANTILE = 0.001
 MARGIN = 0.02
 WINDOW = 5
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _PLACE = (1 << 28) - 1
 
 
@@ -104,18 +105,28 @@ def score(ratio: list[float]) -> Column:
     return F.when(F.size("_h") > 0, total / (2 * F.size("_h") - 1)).otherwise(0.0)
 
 
+def low_quantile(scores: DataFrame, quantile: float) -> float | None:
+    """The exact quantile, between neighbours in proportion; only the lowest share of the scores is gathered."""
+    n = scores.count()
+    if not n:
+        return None
+    at = quantile * (n - 1)
+    low = [r["score"] for r in scores.orderBy("score").limit(int(at) + 2).collect()]
+    a, b = low[int(at)], low[min(int(at) + 1, len(low) - 1)]
+    return a + (b - a) * (at - int(at))
+
+
 def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted: int = TRUSTED, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """Base counts, ``base_failed``, ``score`` and ``kept`` of every row."""
-    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
-    good = written(good.orderBy(F.xxhash64("_id"), "_id").limit(trusted))
+    every = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
+    good = written(every.orderBy(F.xxhash64("_id"), "_id").limit(trusted))
     ratio = log_ratio(docs, good, buckets)
-    own = docs.select("doc_id", "text").join(F.broadcast(good), F.col("doc_id") == F.col("_id"), "left_semi")
-    scores = split_words(own).select(score(ratio).alias("score"))
-    low = scores.agg(F.percentile("score", F.lit(quantile)).alias("q")).first()["q"]  # of at most `trusted` documents
+    # narrow, so that no text is scored twice
+    df = written(base_features(split_words(docs.select("doc_id", "text"))).withColumn("score", score(ratio)).select("doc_id", *COUNTS, "score"))
+    low = low_quantile(df.join(every, F.col("doc_id") == F.col("_id"), "left_semi").select("score"), quantile)
     limit = (low if low is not None else 0.0) - margin
-    df = base_features(split_words(docs.select("doc_id", "text"))).withColumn("score", score(ratio))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return df.withColumn("base_failed", failed).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        "doc_id", *COUNTS, "base_failed",
         (~F.col("base_failed") & (F.col("score") >= F.lit(limit))).alias("kept"), "score",
     )

@@ -369,6 +369,15 @@ def test_log_ratio_agrees_with_brute_force(spark, docs, texts):
     assert np.allclose(quality.log_ratio(docs, trusted, 64), np.log(good / good.sum()) - np.log(raw / raw.sum()))
 
 
+def test_threshold_is_over_all_trusted_documents(spark, docs):
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    scores, kept = zip(*[(r["score"], r["kept"] or r["base_failed"]) for r in quality.judge(docs, labels, trusted=20, quantile=0.1, margin=0.0).collect()], strict=True)
+    low = np.quantile(scores, 0.1)
+    assert all(k for s, k in zip(scores, kept, strict=True) if s > low + 1e-12)
+    by_score = [s for s, k in zip(scores, kept, strict=True) if not k]
+    assert by_score and max(by_score) < low
+
+
 # --- op7
 
 
