@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import TEXTS, prefix_for, written
 from .tokens import Numbered, held
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -251,17 +251,17 @@ def predictor(spark, model: Model, token: str):
 def _fitted(docs: DataFrame, vocabulary: str, sample_docs: int):
     import uuid
 
-    text_batches(docs.sparkSession)
     return predictor(docs.sparkSession, train(docs, vocabulary, sample_docs), f"{uuid.uuid4().hex}|{vocabulary}")
 
 
 def keep_known(docs: DataFrame, vocabulary: str, least: float, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """The rows whose text is of a learned language with a score of least or more."""
-    out = docs.withColumn("_verdict", _fitted(docs, vocabulary, sample_docs)("text"))
-    return out.where((F.col("_verdict.lang_pred") != "und") & (F.col("_verdict.score") >= least)).drop("_verdict")
+    verdict = prefix_for(docs)
+    out = docs.withColumn(verdict, _fitted(docs, vocabulary, sample_docs)("text"))
+    return out.where((F.col(verdict)["lang_pred"] != "und") & (F.col(verdict)["score"] >= least)).drop(verdict)
 
 
 def identify(docs: DataFrame, vocabulary: str, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """Learn from the rows that aren't held out, then predict every row: ``doc_id, held_out, lang_pred, score``."""
-    out = docs.select("doc_id", _fitted(docs, vocabulary, sample_docs)("text").alias("_verdict"))
+    out = written(docs.select("doc_id", _fitted(docs, vocabulary, sample_docs)("text").alias("_verdict")), rows=TEXTS)
     return out.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "_verdict.lang_pred", "_verdict.score")

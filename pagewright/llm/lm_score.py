@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_name, text_batches, written
+from .common import by_name, written
 
 #: Tokens: frequent words, then shared ones; CLASSES x CLASSES in all. The last pads.
 CLASSES = 32
@@ -162,7 +162,6 @@ def words_of(text: str | None) -> list[str]:
 def word_counts(docs: DataFrame) -> DataFrame:
     """``word, n`` over all documents; each task sums its own words first."""
 
-    text_batches(docs.sparkSession)
 
     def run(batches):
         from collections import Counter
@@ -217,7 +216,6 @@ class Coder:
 
 def code(docs: DataFrame, vocab: dict[str, int], tokens: int = CLASSES * CLASSES) -> DataFrame:
     """``doc_id`` (as a string), ``ids``: the tokens of each text as little-endian unsigned 16-bit numbers."""
-    text_batches(docs.sparkSession)
     words = docs.sparkSession.sparkContext.broadcast(vocab)  # FREQUENT words
 
     def run(batches):

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_name, text_batches, written
+from .common import TEXTS, by_name, written
 from .tokens import encoder
 
 CAPACITY = 2048
@@ -147,7 +147,6 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, close: int =
                     uid += 1
             yield pdf.__class__(rows, columns=["uid", "doc_id", "piece", "start", "length", "ids"])
 
-    text_batches(docs.sparkSession)
     doc_id, back = by_name(docs)
     return back(docs.select(doc_id, "text").mapInPandas(run, "uid long, doc_id string, piece int, start long, length long, ids binary"))
 
@@ -201,6 +200,6 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, islan
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, derive=None, **options) -> DataFrame:
     """Every piece with its ``sequence_id`` and ``offset``; derive: columns, by name, kept in place of ``ids``."""
     keep = derive(F.col("ids")) if derive else {"ids": F.col("ids")}
-    pieces = written(cut(docs, tokenizer, capacity).select("uid", "doc_id", "piece", "start", "length", *[c.alias(k) for k, c in keep.items()]))
+    pieces = written(cut(docs, tokenizer, capacity).select("uid", "doc_id", "piece", "start", "length", *[c.alias(k) for k, c in keep.items()]), rows=TEXTS)
     at = place(pieces.select("uid", "length"), capacity, **options)
     return pieces.join(at, "uid").select("doc_id", "piece", "start", "length", *keep, "sequence_id", "offset")

@@ -8,17 +8,8 @@ Manhattan distance is RADIUS or less, so any two such points share a cell of the
 some choice of so many groups. In a cell the lower bound is taken on all coordinates, then
 the Hamming distance itself.
 
-``keep_similar`` serves near copies in general, of five-word shingles with a similarity of 0.8
-or more, which 64 bits cannot tell. It works on the sets themselves and loses no pair: two sets so similar share
-one of the rarest shingles of each (a fifth of a set, and one more), so pairs are taken from the lists of those
-shingles, where sizes and places in the order allow the similarity, and each pair is verified. A few pairs of each list
-come first; what they link is one group, and then every pair of unlike groups is tried.
-
-Copies of a fingerprint or set are one point, and a cell of fingerprints passes on its links as stars. A cell with
-more than HOT points, or a list of more than BLOCK sets, is cut into blocks, and pairs of blocks go to tasks of their own.
-
-Wide fingerprints (``wide_fingerprint``, ``wide_masks``, ``forest``) are no longer part of any query: their search
-is random and misses pairs.
+Copies of a fingerprint are one point, and a cell passes on its links as stars. A cell with more than HOT points is
+cut into blocks, and pairs of blocks go to tasks of their own.
 
 Defined cases: a null or empty text has fingerprint zero and is linked like any other; a
 null id is carried with the least other id of its class (null if there is none).
@@ -34,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_name, text_batches, written
+from .common import TEXTS, by_name, prefix_for, written
 from .components import connected_components
 
 SHINGLE = 4
@@ -43,16 +34,6 @@ RADIUS = 4
 BANDS = 7
 HOT = 20_000
 BLOCK = 4_096
-#: Wide fingerprints: words of 64 bits, shingle, least similarity, distance of candidates.
-WORDS = 4
-WIDE_SHINGLE = 5
-SIMILARITY = 0.8
-WIDE_RADIUS = 60
-#: Shuffles of all coordinates, cut into choices of CHOSEN; two texts at 0.8 agree on one with probability 0.044.
-SHUFFLES = 10
-CHOSEN = 10
-#: Counts of shingles are kept for so many buckets of their hashes.
-BUCKETS = 1 << 19
 #: A two-bit segment's count takes two bits: these hold all first and all second bits.
 LOW = 0x5555555555555555
 NIBBLES = 0x3333333333333333
@@ -91,17 +72,6 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(_majority(shingle_hashes(text, shingle, seed)))
 
 
-def wide_fingerprint(hashes: np.ndarray, words: int = WORDS) -> np.ndarray:
-    """As many words of majorities, each of the hashes mixed anew (the finalizer of SplitMix64)."""
-    out = np.zeros(words, np.uint64)
-    for k in range(words):
-        x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out[k] = _majority(x ^ (x >> np.uint64(31)))
-    return out
-
-
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, text_hash: bool = False) -> DataFrame:
     """``doc_id, fp`` (signed long), and ``th``, a hash of the text, where asked for."""
 
@@ -110,7 +80,6 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, text
             fps = np.array([fingerprint(t, shingle, seed) for t in pdf["text"]], np.uint64)
             yield pdf.drop(columns="text").assign(fp=fps.view(np.int64))
 
-    text_batches(docs.sparkSession)
     doc_id, back = by_name(docs)
     rows = docs.select(doc_id, "text", *[F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th")] * text_hash)
     return back(rows.mapInPandas(run, T.StructType([f for f in rows.schema if f.name != "text"]).add("fp", "long")))
@@ -212,12 +181,9 @@ def cell_links(keys: list[np.ndarray], fp: np.ndarray, radius: int):
     return stars(np.concatenate(left), np.concatenate(right))
 
 
-def _spread(cells: DataFrame, point: str, hot: int, maybe: DataFrame | None = None) -> DataFrame:
-    """Add ``p, q``: 0, or the pair of blocks of a heavy cell; its points go to every pair that theirs is part of.
-
-    ``maybe``: those of the cells that can be heavy, where that is known.
-    """
-    heavy = written((cells if maybe is None else maybe).groupBy("grid", "cell").agg(F.count("*").alias("n")).where(F.col("n") > hot))
+def _spread(cells: DataFrame, point: str, hot: int) -> DataFrame:
+    """Add ``p, q``: 0, or the pair of blocks of a heavy cell; its points go to every pair that theirs is part of."""
+    heavy = written(cells.groupBy("grid", "cell").agg(F.count("*").alias("n")).where(F.col("n") > hot))
     plain = cells.withColumns({"p": F.lit(0), "q": F.lit(0)})
     if heavy.isEmpty():
         return plain
@@ -261,214 +227,7 @@ def links(fps: DataFrame, radius: int = RADIUS, bands: int = BANDS, hot: int = H
     return sorted_cells.select(*keys, "fp").mapInArrow(run, "a long, b long").distinct()
 
 
-def wide_masks(words: int = WORDS, shuffles: int = SHUFFLES, chosen: int = CHOSEN) -> list[list[int]]:
-    """Choices of so many coordinates, disjoint within a shuffle of them all: for each, a mask of every word."""
-    rng, out = np.random.default_rng(SEED), []
-    for _ in range(shuffles):
-        order = rng.permutation(32 * words)
-        for some in np.split(order[: len(order) // chosen * chosen], len(order) // chosen):
-            out.append([sum(3 << (2 * int(k % 32)) for k in some if k // 32 == w) for w in range(words)])
-    return out
-
-
-def forest(a: np.ndarray, b: np.ndarray, d: np.ndarray):
-    """A least spanning forest of the links by (d, a, b), after Boruvka."""
-    order = np.lexsort((b, a, d))
-    a, b, d = a[order], b[order], d[order]
-    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-    u, v = ends[: len(a)], ends[len(a) :]
-    root = np.arange(len(nodes))
-    left, took = np.arange(len(a)), []
-    while len(left := left[root[u[left]] != root[v[left]]]):
-        first = np.full(len(nodes), len(a))
-        np.minimum.at(first, root[u[left]], left)
-        np.minimum.at(first, root[v[left]], left)
-        best = np.unique(first[first < len(a)])
-        took.append(best)
-        x, least = stars(root[u[best]], root[v[best]])
-        moved = np.arange(len(nodes))
-        moved[x] = least
-        root = moved[root]
-    took = np.concatenate(took) if took else left
-    return a[took], b[took], d[took]
-
-
-def shingle_nodes(docs: DataFrame, shingle: int = WIDE_SHINGLE, seed: int = SEED) -> DataFrame:
-    """``doc_id, th, node``; node is a hash of the set of shingles, th one of the text."""
-
-    def run(batches):
-        import xxhash
-
-        for pdf in batches:
-            got = [xxhash.xxh64_intdigest(np.unique(shingle_hashes(t, shingle, seed)).tobytes(), seed) for t in pdf["text"]]
-            yield pdf.drop(columns="text").assign(node=np.array(got, np.uint64).view(np.int64))
-
-    text_batches(docs.sparkSession)
-    doc_id, back = by_name(docs)
-    rows = docs.select(doc_id, "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th"))
-    return back(rows.mapInPandas(run, T.StructType([f for f in rows.schema if f.name != "text"]).add("node", "long")))
-
-
-def shingle_sets(docs: DataFrame, places: DataFrame, shingle: int = WIDE_SHINGLE, seed: int = SEED) -> DataFrame:
-    """``node, s``: the set of each node once; places are ``node, _d, _t``, a row of docs by doc_id and hash of its text."""
-
-    def run(batches):
-        for pdf in batches:
-            yield pdf[["node"]].assign(s=[np.unique(shingle_hashes(t, shingle, seed)).view(np.int64) for t in pdf["text"]])
-
-    text_batches(docs.sparkSession)
-    key = lambda c: {"_no": F.col(c).isNull(), "_id": F.coalesce(F.col(c).cast("string"), F.lit(""))}
-    own = docs.select("doc_id", "text").withColumns({**key("doc_id"), "_t": F.coalesce(F.xxhash64("text"), F.lit(0))})
-    own = own.drop("doc_id").join(places.withColumns(key("_d")).drop("_d"), ["_no", "_id", "_t"])
-    # rows alike in id and text are one
-    return own.dropDuplicates(["_no", "_id", "_t"]).select("node", "text").mapInPandas(run, "node long, s array<long>")
-
-
-def _bucket(x: np.ndarray, buckets: int) -> np.ndarray:
-    return (x.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-
-
-def bucket_counts(sets: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """How many sets hold the shingles of each bucket; each task sends one sum a bucket, in slices."""
-
-    def run(batches):
-        total, pd = np.zeros(buckets, np.int64), None
-        for pdf in batches:
-            pd = pdf.__class__
-            if len(pdf):
-                flat = np.concatenate(pdf["s"].to_list()).astype(np.int64)
-                total += np.bincount(_bucket(flat, buckets), minlength=buckets)
-        if pd:
-            for k in range(0, buckets, 4096):
-                yield pd({"part": [k // 4096], "n": [total[k : k + 4096]]})
-
-    def add(pdf):
-        return pdf.iloc[:1].assign(n=[np.sum(np.stack(pdf["n"]), axis=0)])
-
-    kind = "part int, n array<long>"
-    out = np.zeros(buckets, np.int64)
-    for r in sets.select("s").mapInPandas(run, kind).groupBy("part").applyInPandas(add, kind).collect():
-        out[r["part"] * 4096 : r["part"] * 4096 + len(r["n"])] = r["n"]
-    return out
-
-
-def prefix(x: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
-    """The rarest shingles of a set, as many as another set of that similarity must share one of.
-
-    Any order that is the same for all sets is right; counts of buckets put common shingles last.
-    """
-    rare = np.lexsort((x, counts[_bucket(x, len(counts))]))
-    return x[rare[: int(len(x) - similarity * len(x) + 1e-9) + 1]]
-
-
-def pair_candidates(keys: list[np.ndarray], node: np.ndarray, n: np.ndarray, at: np.ndarray, group: np.ndarray, similarity: float, first: bool):
-    """Yield ``(a, b)``, a < b, of the runs of equal keys; rows are sorted by keys, n.
-
-    Pairs whose sizes or places in the order rule the similarity out, and those of one group, are left out.
-    first: only pairs of neighbours, and those with the first of a run.
-    """
-    new = np.ones(len(node), bool)
-    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-    run = np.cumsum(new) - 1
-    starts = np.flatnonzero(new)
-    found, held = [], 0
-
-    def fitting(i, j):
-        most = np.minimum(n[i] - at[i], n[j] - at[j]).astype(np.int64)  # in common, where this is the first
-        ok = (most >= similarity * (n[i] + n[j] - most) - 1e-6) & (group[i] != group[j])
-        i, j = i[ok], j[ok]
-        return np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])])
-
-    i, step = np.arange(len(node)), 1
-    while len(i := i[i + step < len(node)]) and len(i := i[run[i] == run[i + step]]):
-        i = i[n[i] >= similarity * n[i + step] - 1e-6]  # sizes only grow from here
-        for k in range(0, len(i), 1 << 18):
-            found.append(fitting(i[k : k + (1 << 18)], i[k : k + (1 << 18)] + step))
-            held += found[-1].shape[1]
-            if held > 1 << 20:
-                yield np.unique(np.concatenate(found, axis=1), axis=1)
-                found, held = [], 0
-        if first:
-            j = np.arange(len(node))
-            j = j[starts[run] < j]
-            h = starts[run[j]]
-            fits = n[h] >= similarity * n[j] - 1e-6
-            found.append(fitting(h[fits], j[fits]))
-            break
-        step += 1
-    if found:
-        yield np.unique(np.concatenate(found, axis=1), axis=1)
-
-
-def candidates(sets: DataFrame, counts, similarity: float, groups: DataFrame | None = None, hot: int = BLOCK) -> DataFrame:
-    """Distinct candidates ``a, b`` (nodes, a < b) that share a shingle of their prefixes.
-
-    Without ``groups`` (``node, root``) only a few of each shingle's pairs; with them all pairs of unlike groups,
-    so that the sets of any similar pair are among them or in one group.
-    """
-    import pyarrow as pa
-
-    entry, first = "node long, size int, at int, cell long, root long, grid int", groups is None
-    whole = sets.withColumn("root", F.col("node"))
-    if groups is not None:
-        whole = sets.join(groups, "node", "left").select("node", "s", F.coalesce("root", "node").alias("root"))
-
-    def entries(least):
-        def run(batches):
-            c = counts.value
-            for pdf in batches:
-                got = [prefix(x, c, similarity) if len(x) else x for x in pdf["s"]]
-                size = np.array([len(g) for g in got], np.int64)
-                flat = np.concatenate(got) if size.sum() else np.zeros(0, np.int64)
-                out = pdf.__class__({
-                    "node": np.repeat(pdf["node"].to_numpy(np.int64), size), "size": np.repeat([len(x) for x in pdf["s"]], size).astype(np.int32),
-                    "at": (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32), "cell": flat,
-                    "root": np.repeat(pdf["root"].to_numpy(np.int64), size), "grid": np.int32(0),
-                })
-                if least:
-                    out = out[c[_bucket(flat, len(c))] > least]
-                yield out
-
-        return whole.mapInPandas(run, entry)
-
-    keys = ["grid", "cell", "p", "q"]
-    # only a bucket with more than hot sets can hold a shingle that has so many
-    cells = _spread(entries(0), "node", hot, entries(hot))
-    order = [*keys[1:], "node", "size", "at", "root"]
-
-    def run(batches):
-        rest = None
-        for batch in batches:
-            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]
-            if rest is not None:
-                cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
-            last = np.all([c == c[-1] for c in cols[:3]], axis=0)  # the last cell may go on
-            rest = [c[last] for c in cols]
-            yield from linked([c[~last] for c in cols])
-        if rest is not None:
-            yield from linked(rest)
-
-    def linked(cols):
-        for a, b in pair_candidates(cols[:3], *cols[3:], similarity, first):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    k = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = cells.repartition(k, *keys[1:]).sortWithinPartitions(*keys[1:], "size", "node").select(*order)
-    return cells.mapInArrow(run, "a long, b long").distinct()
-
-
-def verified_links(sets: DataFrame, edges: DataFrame, similarity: float) -> DataFrame:
-    """The candidates whose sets of shingles have that Jaccard similarity or more."""
-    edges = written(edges)
-    nodes = written(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    sets = written(sets.join(nodes, "node", "left_semi"))  # most sets are in no pair
-    pairs = edges.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a")
-    pairs = pairs.join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return pairs.where(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b")
-
-
-def _place():
+def place():
     """Orders the rows of a class: ids first, then hashes of texts."""
     return F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("d"), F.col("th").alias("t"))
 
@@ -485,7 +244,7 @@ def _classes(rows: DataFrame, radius: int, bands: int, hot: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS, bands: int = BANDS, hot: int = HOT) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row."""
-    rows = written(fingerprints(docs, shingle, seed))
+    rows = written(fingerprints(docs, shingle, seed), rows=TEXTS)
     classes = _classes(rows, radius, bands, hot)
     return rows.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -496,33 +255,16 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radius
     Where rows repeat that id, the one with the least hash of its text stays. A class of
     null ids alone keeps one of its rows.
     """
-    rows = written(fingerprints(docs.select("doc_id", "text"), shingle, seed, text_hash=True))
+    rows = written(fingerprints(docs, shingle, seed, text_hash=True), rows=TEXTS)
     classes = _classes(rows.select("doc_id", "fp"), radius, bands, hot)
-    return _only(docs, rows.join(classes, "fp").groupBy("root").agg(F.min(_place()).alias("p")))
+    return kept_rows(docs, rows.join(classes, "fp").groupBy("root").agg(F.min(place()).alias("p")))
 
 
-def _only(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """The rows of docs at the places ``p``."""
-    first = first.select(F.col("p.d").alias("_d"), F.col("p.t").alias("_t"))
-    own = docs.withColumn("_th", F.coalesce(F.xxhash64("text"), F.lit(0)))
-    kept = own.join(first, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")), "left_semi")
-    # rows alike in id and text are one
-    return kept.dropDuplicates(["doc_id", "_th"]).drop("_th")
-
-
-def keep_similar(docs: DataFrame, shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY, seed: int = SEED, hot: int = BLOCK) -> DataFrame:
-    """As keep_first, with classes of texts linked by the similarity of their sets of shingles.
-
-    Texts with equal sets are alike; those without a word, too.
-    """
-    rows = written(shingle_nodes(docs.select("doc_id", "text"), shingle, seed))
-    points = written(rows.groupBy("node").agg(F.min(_place()).alias("p")))
-    places = points.select("node", F.col("p.d").alias("_d"), F.col("p.t").alias("_t"))
-    sets = written(shingle_sets(docs, places, shingle, seed))
-    counts = docs.sparkSession.sparkContext.broadcast(bucket_counts(sets))  # BUCKETS numbers
-    some = written(verified_links(sets, candidates(sets, counts, similarity, hot=hot), similarity))
-    groups = written(connected_components(some))
-    rest = verified_links(sets, candidates(sets, counts, similarity, groups, hot), similarity)
-    roots = connected_components(some.unionAll(rest))
-    member = points.select("node", "p").join(roots, "node", "left")
-    return _only(docs, member.groupBy(F.coalesce("root", "node")).agg(F.min("p").alias("p")))
+def kept_rows(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """The rows of docs at the places ``p``; rows alike in id and text are one."""
+    own = prefix_for(docs)
+    keys = {f"{own}n": F.col("doc_id").isNull(), f"{own}d": F.coalesce(F.col("doc_id").cast("string"), F.lit(""))}  # never null, so one shuffle serves both steps
+    first = first.select(F.col("p.d").alias("doc_id"), F.col("p.t").alias(f"{own}t")).withColumns(keys).drop("doc_id")
+    hashed = docs.withColumns(keys | {f"{own}t": F.coalesce(F.xxhash64("text"), F.lit(0))})
+    on = [*keys, f"{own}t"]
+    return hashed.join(first, on, "left_semi").dropDuplicates(on).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import by_name, text_batches, written
+from .common import TEXTS, by_name, written
 from .tokens import encoder
 
 DTYPE = "<u2"
@@ -33,7 +33,6 @@ def write_flat(docs: DataFrame, tokenizer: str, close: int = CLOSE, dtype: str =
     Rows with ``doc_id`` and ``ordinal`` (block null) tell which document was put where; the
     scan does not read them.
     """
-    text_batches(docs.sparkSession)
     doc_id, back = by_name(docs)
 
     def run(batches):
@@ -121,7 +120,7 @@ def scan(blocks: DataFrame, close: int = CLOSE, dtype: str = DTYPE, span: int =
 
 def count_tokens(docs: DataFrame, tokenizer: str, close: int = CLOSE) -> DataFrame:
     """Write docs as flat token files, scan these, and put each count to its document: ``doc_id, n_tokens``."""
-    flat = written(write_flat(docs, tokenizer, close), "zstd")
+    flat = written(write_flat(docs, tokenizer, close), "zstd", TEXTS)
     counts = scan(flat.where("block is not null"), close)
     names = flat.where("block is null").select(F.col("file").alias("_f"), F.col("ordinal").alias("_o"), "doc_id")
     return names.join(counts, (F.col("_f") == F.col("file")) & (F.col("_o") == F.col("ordinal"))).select("doc_id", "file", "ordinal", "start", "n_tokens")

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pagewright.llm import chat, components, embedding_dedup, language_id, line_dedup, lm_score, mixing, packing, quality, simhash, token_counts
+from pagewright.llm import chat, components, embedding_dedup, language_id, line_dedup, lm_score, mixing, packing, quality, similar, simhash, token_counts
 from pagewright.llm.queries import OP2_SQL, op2_chat_format, tokenizer_path
 
 SF = "/root/testdata/sf0.01"
@@ -540,13 +540,13 @@ def test_keep_similar_agrees_with_brute_force(spark):
     texts = near_copies(60, 3) | {-1: "", -2: None, -3: "one two", -4: "One  two"}
     df = spark.createDataFrame([*texts.items()], "doc_id long, text string").withColumn("f0", F.lit(1)).withColumn("node", F.lit("x"))
     want = sorted({*brute_similar(texts).values()})
-    for hot in (simhash.BLOCK, 40):
-        kept = simhash.keep_similar(df, hot=hot)
+    for options in ({}, {"hot": 10, "few": 3, "hubs": 1, "load": 2_000}):
+        kept = similar.keep_similar(df, **options)
         assert kept.columns == df.columns
         assert sorted(r["doc_id"] for r in kept.collect()) == want
-    assert simhash.keep_similar(df.limit(0)).count() == 0
+    assert similar.keep_similar(df.limit(0)).count() == 0
     odd = spark.createDataFrame([(None, "a b"), (None, "a b"), (1, "c d e f g"), (1, "c d e f g"), (1, "q r s t u v")], "doc_id long, text string")
-    assert sorted((r["doc_id"] or 0, r["text"]) for r in simhash.keep_similar(odd).collect()) == [(0, "a b"), (1, "c d e f g"), (1, "q r s t u v")]
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in similar.keep_similar(odd).collect()) == [(0, "a b"), (1, "c d e f g"), (1, "q r s t u v")]
 
 
 def edits(n, seed):
@@ -567,41 +567,14 @@ def test_keep_similar_tries_every_candidate_of_a_group_of_edits(spark):
     assert {*brute_similar(texts).values()} == {0}
     for order in (1, -1):  # the original has the least id or the greatest
         df = spark.createDataFrame([(order * k, t) for k, t in texts.items()], "doc_id long, text string")
-        assert simhash.keep_similar(df).count() == 1
+        assert similar.keep_similar(df).count() == 1
 
 
 def test_keep_similar_finds_pairs_of_short_texts(spark):
     text = lambda k, m: " ".join(f"a{k}.{j}" for j in range(m))
     texts = {k: text(k // 2, 8 + k % 2) for k in range(600)}  # 4 and 5 shingles
     df = spark.createDataFrame([*texts.items()], "doc_id long, text string")
-    assert sorted(r["doc_id"] for r in simhash.keep_similar(df).collect()) == sorted({*brute_similar(texts).values()}) == [2 * k for k in range(300)]
-
-
-def test_wide_search_finds_pairs_at_the_threshold():
-    rng = np.random.default_rng(5)
-    radius, masks, n, found = simhash.WIDE_RADIUS, simhash.wide_masks(), 400, 0
-    for _ in range(n):
-        h = rng.integers(0, 1 << 64, 225, dtype=np.uint64)
-        a, b = (simhash.wide_fingerprint(np.unique(x)) for x in (h[:200], np.concatenate([h[:178], h[200:222]])))  # 178 of 222: 0.802
-        counts = lambda x: [np.uint64(v) for v in simhash._points(x.view(np.int64))]
-        meet = any(all(int(p ^ q) & m == 0 for p, q, m in zip(counts(a), counts(b), some, strict=True)) for some in masks)
-        found += meet and int(np.bitwise_count(a ^ b).sum()) <= radius
-    assert found >= 0.98 * n
-
-
-def test_forest_keeps_components_at_every_distance():
-    rng = np.random.default_rng(6)
-    pairs = np.unique(np.sort(rng.integers(0, 60, (400, 2)), axis=1), axis=0)
-    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-    d = rng.integers(0, 10, len(pairs))
-    a, b, kept = simhash.forest(pairs[:, 0], pairs[:, 1], d)
-    assert len(a) <= 59
-    for most in range(11):
-        x, y = d < most, kept < most
-        assert sorted(zip(*map(np.ndarray.tolist, simhash.stars(*pairs[x].T)), strict=True)) == sorted(zip(*map(np.ndarray.tolist, simhash.stars(a[y], b[y])), strict=True))
-
-
-# --- op9
+    assert sorted(r["doc_id"] for r in similar.keep_similar(df).collect()) == sorted({*brute_similar(texts).values()}) == [2 * k for k in range(300)]
 
 
 def test_network_learns_and_prefers_sense(spark, docs):
