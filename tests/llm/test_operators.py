@@ -321,6 +321,35 @@ def test_embeddings_agree_with_brute_force(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_below_the_limit_do_not_link(spark):
+    p = next(p for p in range(1 << 24, 0, -1) if 0 < 0.98 - p / (p * p + int(np.ceil(p * np.tan(np.arccos(0.98)))) ** 2) ** 0.5 < 9e-10)
+    q = int(np.ceil(p * np.tan(np.arccos(0.98))))
+    df = spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [float(p), float(q)], 0), (3, [float(p), float(q - 1)], 0)], "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_duplicates(df.where("vec_id < 3")).collect()}
+    assert got == {1: (0, 1, True), 2: (0, 2, True)}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(df).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (2, 1)}
+
+
+def test_embeddings_recall_of_deep_trees(spark):
+    """A large label beside small ones, at default parameters: depth 4, spill and many leaves."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(8_000, 64))
+    near = np.repeat(base[:6_000], 2, axis=0)
+    near = near + rng.normal(size=near.shape) * 0.19 * rng.random((len(near), 1))  # about the limit, on both sides
+    x = np.concatenate([base, near]).astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    label = np.where(np.arange(len(x)) % 50 == 7, 1 + np.arange(len(x)) % 3, 0)
+    n = np.concatenate([((unit[k : k + 1000] @ unit.T >= 0.98) & (label[k : k + 1000, None] == label)).sum(axis=1) - 1 for k in range(0, len(x), 1000)])
+    df = spark.createDataFrame([(k, v, int(c)) for k, (v, c) in enumerate(zip(x.tolist(), label, strict=True))], "vec_id long, embedding array<float>, label int").repartition(4)
+    for options in ({}, {"hot": 1_000}):
+        got = np.zeros(len(x), int)
+        for r in embedding_dedup.near_duplicates(df, **options).select("vec_id", "n_links").collect():
+            got[r["vec_id"]] = r["n_links"]
+        assert (got <= n).all() and n.sum() > 10_000
+        assert got.sum() >= 0.99 * n.sum(), got.sum() / n.sum()
+
+
 # --- op6
 
 
