@@ -611,8 +611,10 @@ def test_network_learns_and_prefers_sense(spark, docs):
     assert len(out) == 1000
     vocab = lm_score.vocabulary(docs)
     assert len(vocab) == lm_score.FREQUENT
-    net = lm_score.train(lm_score.code(docs, vocab))
-    coder = lm_score.Coder(vocab, lm_score.CLASSES**2)
+    coded = lm_score.written(lm_score.code(docs, vocab))
+    counts, cells = lm_score.counts_of(coded)
+    net = lm_score.train(*lm_score.blocks_of(coded, int(counts.sum())), counts)
+    coder = lambda text: lm_score.split(lm_score.Coder(vocab)(text))[0]
     rng = np.random.default_rng(0)
     better = []
     for r in docs.orderBy("doc_id").limit(200).collect():
@@ -624,6 +626,46 @@ def test_network_learns_and_prefers_sense(spark, docs):
     start = lm_score.Net()
     ids = coder(docs.first()["text"])
     assert net.log_prob(net.contexts(ids), ids).mean() > start.log_prob(start.contexts(ids), ids).mean() + 0.3
+    # counts, and one text's score, by plain loops
+    words = Counter(w for r in docs.collect() for w in (r["text"] or "").lower().split())
+    assert int(counts.sum()) == sum(words.values()) and all(counts[k] == words[w] for w, k in vocab.items())
+    place = lambda w: divmod(zlib.crc32(w.encode()) % (lm_score.SHARED * lm_score.MEMBERS), lm_score.SHARED)[::-1]
+    rest = Counter()
+    for w, n in words.items():
+        if w not in vocab:
+            rest[place(w)] += n
+    r = docs.orderBy("doc_id").first()
+    own, want = (r["text"] or "").lower().split(), 0.0
+    ids = [vocab.get(w, lm_score.FREQUENT + place(w)[0]) for w in own]
+    pad, side = lm_score.CLASSES**2, lm_score.SIDE
+    for k, w in enumerate(own):
+        window = [ids[j] if 0 <= j < len(own) else pad for j in range(k - side, k + side + 1) if j != k]
+        h = np.tanh(sum(net.w[0][j * (pad + 1) + t] for j, t in enumerate(window)) + net.w[1])
+        c, m = divmod(ids[k], lm_score.CLASSES)
+        for weights, at in ((net.w[2], c), (net.w[3][c], m)):
+            z = h @ weights[:-1] + weights[-1]
+            want += z[at] - np.log(np.exp(z).sum())
+        if w not in vocab:
+            token, cell = place(w)
+            all_ = sum(n for (t, _), n in rest.items() if t == token)
+            want += np.log((rest[token, cell] + lm_score.ALPHA) / (all_ + lm_score.ALPHA * lm_score.MEMBERS))
+    assert abs(out[r["doc_id"]]["log_prob"] - want) < 1e-3 * abs(want) and out[r["doc_id"]]["n_tokens"] == len(own)
+
+
+def test_lm_score_does_not_depend_on_partitions(spark, docs):
+    some = docs.where("doc_id < 200").select("doc_id", "text")
+    some = some.unionAll(some.where("doc_id < 20"))  # copies weigh twice
+    got = [{r["doc_id"]: r["score"] for r in lm_score.score(df, per_block=20_000).collect()} for df in (some.coalesce(1), some.repartition(4))]
+    assert max(abs((a or 0) - (got[1][k] or 0)) for k, a in got[0].items()) < 1e-5
+
+
+def test_weights_of_a_batch_are_copies_of_its_rows():
+    rng = np.random.default_rng(3)
+    c, t, n = rng.integers(0, 17, (6, 4)).astype(np.int32), rng.integers(0, 16, 6), np.array([1, 3, 1, 2, 1, 1])
+    nets = [lm_score.Net(tokens=16, width=5) for _ in range(2)]
+    nets[0].step(c, t, 0.1, n.astype(float))
+    nets[1].step(np.repeat(c, n, axis=0), np.repeat(t, n), 0.1)
+    assert all(np.allclose(x, y, atol=1e-4) for x, y in zip(nets[0].w, nets[1].w, strict=True))
 
 
 def test_log_probs_sum_to_one_and_gradient():
