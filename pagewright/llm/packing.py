@@ -1,8 +1,8 @@
 """Best-fit packing by a grouping genetic algorithm.
 
 A chromosome is a list of bins. Crossover injects whole well-filled bins of one parent
-into the other, removes the bins that hold a document twice, and best-fits the
-documents that this displaces, largest first. Pieces are dealt by hash into blocks of bounded
+into the other, removes the bins that hold a document twice, exchanges what this displaces for items of
+other bins where that fills them better, and best-fits the rest, largest first. Pieces are dealt by hash into blocks of bounded
 size; each block is evolved on several islands, tasks of their own, and the islands pass
 their elites on round a ring between epochs. The best elite of a block is its packing.
 
@@ -14,6 +14,7 @@ null ids are documents of their own. Only doc_id and text are read.
 from __future__ import annotations
 
 import random
+from bisect import bisect_right, insort
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -30,6 +31,8 @@ ISLANDS = 2
 EPOCHS = 2
 POPULATION = 4
 CROSSOVERS = 16
+#: Share of a parent's well-filled bins that a crossover injects, at most.
+SHARE = 0.5
 
 
 class Best:
@@ -81,11 +84,38 @@ def fitness(solution, capacity: int) -> tuple[int, float]:
     return -len(bins), sum((f / capacity) ** 2 for f in fill)
 
 
+def improve(bins, fill, displaced: list[int], sizes, capacity: int) -> list[int]:
+    """Exchange items of bins for displaced ones that fill them better: one or two for one. What is displaced then gets smaller."""
+    free = sorted((sizes[i], i) for i in displaced)
+    for k, b in enumerate(bins):
+        room = capacity - fill[k]
+        if not room or not free:
+            continue
+        best, at, out = 0, -1, ()
+        spans = [(sizes[i], (i,)) for i in b]
+        if len(b) <= 4:
+            spans += [(sizes[i] + sizes[j], (i, j)) for x, i in enumerate(b) for j in b[:x]]
+        for s, some in spans:
+            p = bisect_right(free, (s + room, 1 << 62)) - 1
+            if p >= 0 and free[p][0] - s > best:
+                best, at, out = free[p][0] - s, p, some
+                if best == room:
+                    break
+        if best:
+            _, new = free.pop(at)
+            bins[k] = (*[i for i in b if i not in out], new)
+            fill[k] += best
+            for i in out:
+                insort(free, (sizes[i], i))
+    return [i for _, i in reversed(free)]
+
+
 def cross(into, giver, sizes, capacity: int, rng: random.Random):
-    """A child: the well-filled bins of giver, chosen at random, set into the other parent."""
+    """A child: some well-filled bins of giver, set into the other parent; what that displaces fills other bins better, and the rest is best-fitted."""
     (bins, fill), (other, other_fill) = into, giver
     well = sorted(other_fill)[len(other_fill) // 4]
-    chosen = [k for k, f in enumerate(other_fill) if f >= well and rng.random() < 0.5]
+    share = SHARE * rng.random()
+    chosen = [k for k, f in enumerate(other_fill) if f >= well and rng.random() < share]
     taken = {i for k in chosen for i in other[k]}
     child = [other[k] for k in chosen]
     child_fill = [other_fill[k] for k in chosen]
@@ -99,26 +129,26 @@ def cross(into, giver, sizes, capacity: int, rng: random.Random):
         else:
             child.append(b)
             child_fill.append(f)
-    displaced.sort(key=lambda i: -sizes[i])
+    displaced = improve(child, child_fill, displaced, sizes, capacity)
     return best_fit(displaced, sizes, capacity, child, child_fill)
 
 
-def evolve(sizes: list[int], capacity: int, seed: int, elites=(), population: int = POPULATION, crossovers: int = CROSSOVERS):
-    """The fittest (bins, fill) of one island after an epoch."""
+def starts(sizes: list[int], capacity: int, island: int, rng: random.Random, population: int):
+    """Packings to begin with: best fit in orders about falling size, each island with a disturbance of its own; undisturbed once, on the first."""
+    for k in range(population):
+        noise = 0.0 if island == k == 0 else 0.1 * (1 + island) * (k + 1) / population
+        order = sorted(range(len(sizes)), key=lambda i: -sizes[i] * (1 + noise * rng.random()))
+        yield best_fit(order, sizes, capacity, [], [])
+
+
+def evolve(sizes: list[int], capacity: int, seed: int, elites=(), population: int = POPULATION, crossovers: int = CROSSOVERS, island: int = 0):
+    """The fittest (bins, fill) of one island after an epoch; every crossover is made, however good the start."""
     rng = random.Random(seed)
-    bound = -(-sum(sizes) // capacity)
-    pool = [([*b], [*f]) for b, f in elites]
-    falling = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    if not pool:
-        pool.append(best_fit(falling, sizes, capacity, [], []))
-    while len(pool) < population and len(sizes) > 1:
-        jolted = sorted(range(len(sizes)), key=lambda i: -sizes[i] * (1 + 0.3 * rng.random()))
-        pool.append(best_fit(jolted, sizes, capacity, [], []))
+    pool = [([*b], [*f]) for b, f in elites] or []
+    pool += starts(sizes, capacity, island, rng, population - len(pool)) if len(pool) < population else []
     pool = sorted(((fitness(s, capacity), k, s) for k, s in enumerate(pool)), key=lambda x: (x[0], -x[1]))
     born = len(pool)
-    for _ in range(crossovers):
-        if len(pool) < 2 or len(pool[-1][2][0]) <= bound:
-            break
+    for _ in range(crossovers if len(pool) > 1 else 0):
         a, b = rng.sample(pool, 2)
         child = cross(max(a, b, key=lambda x: x[0])[2], min(a, b, key=lambda x: x[0])[2], sizes, capacity, rng)
         new = (fitness(child, capacity), born, child)
@@ -174,7 +204,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, islan
                     fill[k] = fill.get(k, 0) + sizes[i]
                 elites.append(([tuple(b) for b in bins.values()], list(fill.values())))
             block, island = key
-            bins, fill = evolve(sizes, capacity, (int(block) * 64 + int(island)) * 64 + step, elites)
+            bins, fill = evolve(sizes, capacity, (int(block) * 64 + int(island)) * 64 + step, elites, island=int(island))
             order, of, at = [], [], []
             for k, b in enumerate(bins):
                 offset = 0

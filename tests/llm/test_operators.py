@@ -280,6 +280,33 @@ def test_crossover_keeps_every_document_once():
         assert len(bins) <= len(greedy)
 
 
+def test_evolution_beats_greedy_on_triplets():
+    """Bins of three documents without room to spare: the optimum is known, and best fit alone is far from it."""
+    for seed in range(3):
+        rng, sizes = random.Random(seed), []
+        for _ in range(200):
+            a = rng.randint(380, 490)
+            b = rng.randint((1000 - a) // 2 - 60, (1000 - a) // 2)
+            sizes += [a, b, 1000 - a - b]
+        rng.shuffle(sizes)
+        greedy, _ = packing.best_fit(sorted(range(600), key=lambda i: -sizes[i]), sizes, 1000, [], [])
+        bins, fill = packing.evolve(sizes, 1000, seed)
+        assert sorted(i for b in bins for i in b) == [*range(600)]
+        assert fill == [sum(sizes[i] for i in b) for b in bins] and max(fill) <= 1000
+        assert 200 <= len(bins) <= 210 < 214 <= len(greedy)
+
+
+def test_every_crossover_is_made_and_islands_start_apart(monkeypatch):
+    calls, own = [], packing.cross
+    monkeypatch.setattr(packing, "cross", lambda *a: calls.append(1) or own(*a))
+    rng = random.Random(1)
+    sizes = [rng.randint(1, 2047) for _ in range(500)]
+    packing.evolve(sizes, 2048, 1)
+    assert len(calls) == packing.CROSSOVERS
+    begun = [[s[0] for s in packing.starts(sizes, 2048, island, random.Random(1), 4)] for island in (0, 1)]
+    assert not any(a == b for a in begun[0] for b in begun[1])
+
+
 # --- op5
 
 
