@@ -29,8 +29,10 @@ LETTERS = re.compile(r"[^\W\d_]+")
 SAMPLE_DOCS = 300
 ROUNDS = 4
 SMOOTHING = 0.05
-#: Bytes of a word up to which many are scored at once; longer ones go one by one.
+#: Bytes of a word up to which words of one length make a lattice of all spans; longer ones (text without blanks)
+#: make a lattice of the pieces that they hold, with others of about their length, of so many bytes together.
 LONG = 40
+TOGETHER_BYTES = 1 << 17
 
 
 def load_pieces(path: str) -> dict[bytes, int]:
@@ -76,61 +78,120 @@ class Lattice:
             into += np.bincount(ids, share[:, 0], len(into))
 
 
+class LongLattice:
+    """Words of any lengths, with the pieces found in each; sums are kept as logarithms, so no length is too much."""
+
+    def __init__(self, words: list[bytes], pieces: dict[bytes, int], starts: set[bytes]):
+        self.n = np.array([len(w) for w in words])
+        found, get = [], pieces.get
+        for r, w in enumerate(words):
+            for i in range(len(w)):
+                j = i + 1
+                while j <= len(w):
+                    part = w[i:j]
+                    if (k := get(part)) is not None:
+                        found.append((r, i, j, k))
+                    if part not in starts:
+                        break
+                    j += 1
+        self.spans = np.array(found, np.int64)
+        self.reach = int((self.spans[:, 2] - self.spans[:, 1]).max())
+
+    def _by(self, column: int):
+        """Spans in order of their starts or ends, and of words within; bounds of each place."""
+        order = np.lexsort((self.spans[:, 0], self.spans[:, column]))
+        spans = self.spans[order]
+        return spans, np.searchsorted(spans[:, column], np.arange(self.n.max() + 2))
+
+    @staticmethod
+    def _sums(r: np.ndarray, x: np.ndarray):
+        """(words, sums of their rows); r is sorted."""
+        at = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+        return r[at], np.add.reduceat(x, at, axis=0)
+
+    def forward(self, p: np.ndarray, keep: bool = False):
+        """Log of each word's sum, (words, languages); with keep, of the sums up to each place too. Else only as many places as a piece spans are held."""
+        spans, cuts = self._by(2)
+        held = int(self.n.max()) + 1 if keep else self.reach + 1
+        alpha, out = np.full((len(self.n), held, p.shape[1]), -np.inf), np.zeros((len(self.n), p.shape[1]))
+        alpha[:, 0] = 0
+        for j in range(1, self.n.max() + 1):
+            r, i, _, k = spans[cuts[j] : cuts[j + 1]].T
+            last = alpha[:, (j - 1) % held]
+            words, total = self._sums(r, np.exp(alpha[r, i % held] - last[r]) * p[k])
+            alpha[words, j % held] = last[words] + np.log(total)
+            done = words[self.n[words] == j]
+            out[done] = alpha[done, j % held]
+        return (out, alpha) if keep else out
+
+    def expected(self, p: np.ndarray, weight: np.ndarray, into: np.ndarray) -> None:
+        """Add each piece's expected count, for one language."""
+        total, alpha = self.forward(p, keep=True)
+        beta = np.full(alpha.shape, -np.inf)
+        beta[np.arange(len(self.n)), self.n] = 0
+        spans, cuts = self._by(1)
+        for i in range(self.n.max() - 1, -1, -1):
+            r, _, j, k = spans[cuts[i] : cuts[i + 1]].T
+            after = beta[:, i + 1]
+            words, sums = self._sums(r, np.exp(beta[r, j] - after[r]) * p[k])
+            beta[words, i] = after[words] + np.log(sums)
+        r, i, j, k = self.spans.T
+        share = np.exp(alpha[r, i, 0] + beta[r, j, 0] - total[r, 0]) * p[k, 0] * weight[r]
+        into += np.bincount(k, share, len(into))
+
+
+def piece_starts(pieces: dict[bytes, int]) -> set[bytes]:
+    """What a longer piece may begin with."""
+    return {w[:k] for w in pieces for k in range(1, len(w))}
+
+
 def _by_length(words: list[bytes]):
+    """Numbers of words of equal lengths up to LONG, and of longer ones in groups of alike lengths and bounded size."""
     groups: dict[int, list[int]] = {}
     for k, w in enumerate(words):
         groups.setdefault(len(w), []).append(k)
-    return groups
+    for n in sorted(n for n in groups if n <= LONG):
+        for a in range(0, len(groups[n]), 20_000):
+            yield False, groups[n][a : a + 20_000]
+    some: list[int] = []
+    for n in sorted(n for n in groups if n > LONG):
+        for k in groups[n]:
+            if some and (len(some) + 1) * n > TOGETHER_BYTES:
+                yield True, some
+                some = []
+            some.append(k)
+    if some:
+        yield True, some
 
 
 @dataclass
 class Model:
     langs: list[str]
     pieces: dict[bytes, int]
-    longest: int
+    starts: set[bytes]
     p: np.ndarray  # (pieces + 1, languages)
 
     def log_words(self, words: list[str]) -> np.ndarray:
         """Log-probability of each word in each language."""
         spelt = [b" " + w.encode() for w in words]
         out = np.empty((len(words), len(self.langs)))
-        for n, members in _by_length(spelt).items():
-            if n <= LONG:
-                for a in range(0, len(members), 20_000):
-                    part = members[a : a + 20_000]
-                    out[part] = np.log(Lattice([spelt[k] for k in part], self.pieces, len(self.p) - 1).forward(self.p)[-1])
-            else:
-                for k in members:
-                    out[k] = self.log_long(spelt[k])
+        for long, part in _by_length(spelt):
+            own = [spelt[k] for k in part]
+            out[part] = LongLattice(own, self.pieces, self.starts).forward(self.p) if long else np.log(Lattice(own, self.pieces, len(self.p) - 1).forward(self.p)[-1])
         return out
 
-    def log_long(self, word: bytes) -> np.ndarray:
-        """The same sum for a word of any length, scaled at each byte."""
-        alpha, logs = {0: np.ones(len(self.langs))}, np.zeros(len(self.langs))
-        for j in range(1, len(word) + 1):
-            total = np.zeros(len(self.langs))
-            for i in range(max(0, j - self.longest), j):
-                if (k := self.pieces.get(word[i:j])) is not None:
-                    total += alpha[i] * self.p[k]
-            alpha[j] = total
-            if j % 8 == 0:
-                scale = total.copy()
-                logs += np.log(scale)
-                alpha = {i: alpha[i] / scale for i in range(max(0, j - self.longest), j + 1)}
-        return logs + np.log(alpha[len(word)])
-
 
 def fit(counts: dict[str, dict[str, int]], pieces: dict[bytes, int], rounds: int = ROUNDS) -> Model:
-    """EM over the words of each language, from equal probabilities."""
-    langs, none = sorted(counts), max(pieces.values()) + 1
+    """EM over all words of each language, from equal probabilities."""
+    langs, none, starts = sorted(counts), max(pieces.values()) + 1, piece_starts(pieces)
     p = np.zeros((none + 1, len(langs)))
     for c, lang in enumerate(langs):
         spelt = [b" " + w.encode() for w in counts[lang]]
         weight = np.array(list(counts[lang].values()), float)
         lattices = []
-        for n, members in _by_length(spelt).items():
-            if n <= LONG:  # a longer word is scored in full, but is no sample of common pieces
-                lattices.append((Lattice([spelt[k] for k in members], pieces, none), weight[members]))
+        for long, part in _by_length(spelt):
+            own = [spelt[k] for k in part]
+            lattices.append((LongLattice(own, pieces, starts) if long else Lattice(own, pieces, none), weight[part]))
         q = np.full((none + 1, 1), 1.0 / none)
         q[none] = 0
         for _ in range(rounds):
@@ -140,7 +201,7 @@ def fit(counts: dict[str, dict[str, int]], pieces: dict[bytes, int], rounds: int
             found[none] = 0
             q = (found / found.sum())[:, None]
         p[:, c] = q[:, 0]
-    return Model(langs, pieces, max(map(len, pieces)), p)
+    return Model(langs, pieces, starts, p)
 
 
 def is_held_out(doc_id):
@@ -177,8 +238,9 @@ def train(docs: DataFrame, vocabulary: str, sample_docs: int = SAMPLE_DOCS) -> M
     return fit(found, load_pieces(vocabulary))
 
 
-#: Words whose scores a worker keeps, and words that it looks up together.
+#: Words, and their characters, whose scores a worker keeps; words that it looks up together.
 KEEP = 600_000
+KEEP_CHARS = 1 << 25
 TOGETHER = 200_000
 
 
@@ -190,11 +252,11 @@ class Judge:
         self._clear()
 
     def _clear(self) -> None:
-        self.known, self.scores = Numbered(), np.zeros((1 << 16, len(self.model.langs)))
+        self.known, self.scores, self.chars = Numbered(), np.zeros((1 << 16, len(self.model.langs))), 0
 
     def _sums(self, words: list[str], sizes: np.ndarray) -> np.ndarray:
         """Log-probabilities of runs of words, each of one or more."""
-        if len(self.known) > KEEP:
+        if len(self.known) > KEEP or self.chars > KEEP_CHARS:
             self._clear()
         before = len(self.known)
         ids = np.array(list(map(self.known.__getitem__, words)), np.int64)
@@ -203,6 +265,7 @@ class Judge:
         if len(self.known) > before:
             new = list(islice(reversed(self.known), len(self.known) - before))[::-1]
             self.scores[before : len(self.known)] = self.model.log_words(new)
+            self.chars += sum(map(len, new))
         return np.add.reduceat(self.scores[ids], np.cumsum(sizes) - sizes, axis=0)
 
     def __call__(self, texts) -> tuple[list[str], np.ndarray]:
@@ -230,12 +293,16 @@ def predictor(spark, model: Model, token: str):
     if not model.langs:
         return lambda text: F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     sent = spark.sparkContext.broadcast((model.langs, model.p))  # pieces x languages
-    path, longest = token.split("|", 1)[1], model.longest
+    path = token.split("|", 1)[1]
 
     def run(batches):
         import pandas as pd
 
-        judge = held(("judge", token), lambda: Judge(Model(sent.value[0], load_pieces(path), longest, sent.value[1])))
+        def make():
+            pieces = load_pieces(path)
+            return Judge(Model(sent.value[0], pieces, piece_starts(pieces), sent.value[1]))
+
+        judge = held(("judge", token), make)
         for texts in batches:
             pred, score = judge(texts.tolist())
             yield pd.DataFrame({"lang_pred": pred, "score": score})

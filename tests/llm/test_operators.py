@@ -121,11 +121,44 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(model.p.sum(axis=0), 1)
     words = ["then", "wört", "x"]
     assert np.allclose(model.log_words(words), [all_segmentations(model, b" " + w.encode()) for w in words])
-    long = "then" * 9  # below the bound for a batch
-    assert np.allclose(model.log_words([long])[0], model.log_long(b" " + long.encode()))
+    both = [["then" * 9, "hender", "wörterthen" * 3], ["then" * 9, "wört" * 600, "x"]]
+    for some in both:  # both kinds of lattice
+        own = [b" " + w.encode() for w in some]
+        short = [np.log(language_id.Lattice([w], pieces, len(model.p) - 1).forward(model.p)[-1])[0] for w in own if len(w) <= 40]
+        long = language_id.LongLattice(own, pieces, model.starts).forward(model.p)
+        assert np.allclose([x for x, w in zip(long, own, strict=True) if len(w) <= 40], short)
+        assert np.isfinite(long).all()
     assert np.isfinite(model.log_words(["ab" * 5000])).all()
 
 
+def test_expected_counts_of_long_words():
+    pieces = language_id.load_pieces(tokenizer_path("byte_bpe_multi_50k.tiktoken"))
+    model = language_id.fit({"en": {"the": 5, "hen": 2}}, pieces)
+    words, weight = [b" thenhenthe", b" hethenthen", b" x"], np.array([2.0, 3.0, 1.0])
+    got, want = np.zeros(len(model.p)), np.zeros(len(model.p))
+    language_id.LongLattice(words, pieces, model.starts).expected(model.p, weight, got)
+    for w, n in zip(words, weight, strict=True):
+        language_id.Lattice([w], pieces, len(model.p) - 1).expected(model.p, np.array([n]), want)
+    assert np.allclose(got, want)
+
+
+def test_language_id_of_scripts_without_blanks(spark):
+    """Made-up lexicons in Thai, Chinese and Japanese letters, two of them sharing a script, run together in long sentences."""
+    rng = np.random.default_rng(2)
+    scripts = {"th": [*range(0x0E01, 0x0E2F)], "zh": [*range(0x4E00, 0x4F00)], "zh2": [*range(0x4E00, 0x4F00)], "ja": [*range(0x3042, 0x3094), *range(0x4E00, 0x4E40)]}
+    rows = []
+    for lang, letters in scripts.items():
+        lexicon = ["".join(map(chr, rng.choice(letters, rng.integers(1, 4)))) for _ in range(400)]
+        p = 1 / np.arange(1, 401)
+        for _ in range(150):
+            rows.append((len(rows), "。".join("".join(rng.choice(lexicon, 25, p=p / p.sum())) for _ in range(3)), lang))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r["doc_id"]: r for r in language_id.identify(df, tokenizer_path("byte_bpe_multi_50k.tiktoken")).collect()}
+    for lang in scripts:
+        held = [out[k] for k, _, x in rows if x == lang and out[k]["held_out"]]
+        assert len(held) > 20 and np.mean([r["lang_pred"] == lang and r["score"] > 0.9 for r in held]) > 0.95
+
+
 def test_language_id_on_held_out_rows(spark, docs):
     out = language_id.identify(docs, tokenizer_path("byte_bpe_multi_50k.tiktoken")).join(docs.select("doc_id", "lang"), "doc_id").collect()
     assert len(out) == 1000
