@@ -32,7 +32,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2_SQL = """
 WITH t AS (
   SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, role, text, turn,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i
   FROM conversations WHERE conv_id IS NOT NULL),
 x AS (
   SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.i, b.i) AS i,
@@ -57,8 +57,30 @@ FROM n
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "text", F.col("_chunks").alias("n_chunks"), F.col("_removed").alias("n_removed"))
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=("n_chunks", "n_removed"))
+
+
+OP3_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+  FROM documents WHERE text IS NOT NULL),
+w AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n, md5(line) AS h FROM l),
+e AS (
+  SELECT *, lead(i) OVER t IS NULL OR n > 50 OR lead(n) OVER t > 50
+    OR coalesce(CAST('0x' || substr(md5(lag(h) OVER t || h), 1, 2) AS INT) < 85, false) AS stop
+  FROM w WINDOW t AS (PARTITION BY doc_id ORDER BY i)),
+k AS (
+  SELECT *, coalesce(sum(CAST(stop AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS idx FROM e),
+c AS (
+  SELECT doc_id, idx, string_agg(line, chr(10) ORDER BY i) AS chunk, sum(CAST(n > 0 AS INT)) >= 2 OR max(n) > 50 AS fit FROM k GROUP BY doc_id, idx),
+r AS (SELECT *, fit AND row_number() OVER (PARTITION BY fit, chunk ORDER BY doc_id, idx) > 1 AS gone FROM c),
+o AS (
+  SELECT doc_id, coalesce(string_agg(chunk, chr(10) ORDER BY idx) FILTER (WHERE NOT gone), '') AS rest, count(*) AS n_chunks, count(*) FILTER (WHERE gone) AS n_removed
+  FROM r GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN coalesce(n_removed, 0) = 0 THEN d.text ELSE rest END AS text,
+  CAST(coalesce(n_chunks, 0) AS INT) AS n_chunks, CAST(coalesce(n_removed, 0) AS INT) AS n_removed
+FROM documents d LEFT JOIN o ON d.doc_id = o.doc_id
+"""
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,4 +118,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": OP2_SQL}
+    return {"op2_chat_format": OP2_SQL, "op3_line_dedup": OP3_SQL}

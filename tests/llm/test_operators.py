@@ -1,8 +1,10 @@
 """The training-data operators against brute force, round trips and held-out accuracy."""
 
+import hashlib
 import itertools
 import random
 import re
+import tempfile
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from pagewright.llm import chat, components, embedding_dedup, language_id, line_dedup, lm_score, mixing, packing, quality, similar, simhash, token_counts
-from pagewright.llm.queries import OP2_SQL, op2_chat_format, tokenizer_path
+from pagewright.llm.queries import OP2_SQL, OP3_SQL, op2_chat_format, op3_line_dedup, tokenizer_path
 
 SF = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -220,32 +222,24 @@ def test_chat_prefix_and_masks(spark):
 # --- op3
 
 
-def le(x):
-    return (x % (1 << 64)).to_bytes(8, "little")
-
-
 def brute_lines(rows, divisor=line_dedup.DIVISOR):
     signed = lambda x: x - (1 << 64) if x >> 63 else x
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    n_words = lambda x: len(WORD.findall(x))
 
     def split(text):
         lines, out = text.split("\n"), [[]]
-        hs = [xxhash.xxh64_intdigest(x.encode(), 42) for x in lines]
         for k, line in enumerate(lines):
             out[-1].append(line)
-            if k and k < len(lines) - 1:
-                roll = signed(xxhash.xxh64_intdigest(le(hs[k]), xxhash.xxh64_intdigest(le(hs[k - 1]), 42)))
-                if roll % divisor == 0:
-                    out.append([])
-            elif k == 0 and k < len(lines) - 1:
-                # the first line's rolling hash has no line before it: a null is skipped
-                if signed(xxhash.xxh64_intdigest(le(hs[0]), 42)) % divisor == 0:
-                    out.append([])
+            rolls = k and int(md5(md5(lines[k - 1]) + md5(line))[:2], 16) < 256 // divisor
+            if k < len(lines) - 1 and (rolls or n_words(line) > 50 or n_words(lines[k + 1]) > 50):
+                out.append([])
         return out
 
     places = defaultdict(set)
     for doc, text in rows:
         for i, chunk in enumerate(split(text) if text is not None else []):
-            if sum(bool(WORD.search(x)) for x in chunk) >= 2:
+            if sum(n_words(x) > 0 for x in chunk) >= 2 or any(n_words(x) > 50 for x in chunk):
                 places["\n".join(chunk)].add((doc is None, doc or 0, signed(xxhash.xxh64_intdigest(text.encode(), 42)), i))
     out = []
     for doc, text in rows:
@@ -260,16 +254,40 @@ def brute_lines(rows, divisor=line_dedup.DIVISOR):
 
 def test_line_dedup_agrees_with_brute_force(spark, texts):
     passage = "\n".join(f"line {k} of a passage that is long enough" for k in range(12))
+    long = " ".join(f"w{k}" for k in range(60))  # one line
     own = [*texts.items()] + [(2000 + k, f"own {k}\n{'x' * k}\n{passage}\nend {k}") for k in range(30)]
-    own += [(3000 + k, t) for k, t in enumerate(ODD)] + [(None, passage), (7, passage), (7, passage), (8, "\n\n\n\n" * 9), (9, passage + "\n" + passage)]
+    own += [(4000 + k, f"start {k}\n{long}\nend") for k in range(3)] + [(3000 + k, t) for k, t in enumerate(ODD)] + [(None, passage), (7, passage), (7, passage), (8, "\n\n\n\n" * 9), (9, passage + "\n" + passage)]
     df = spark.createDataFrame(own, "doc_id long, text string").withColumn("idx", F.lit(1)).withColumn("h", F.lit(2)).withColumn("lines", F.lit("z"))
-    out = line_dedup.dedup_lines(df)
+    out = line_dedup.dedup_lines(df, counts=("a", "b"))
+    assert out.columns == [*df.columns, "a", "b"]
     assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == brute_lines(own)
-    removed = out.where("doc_id between 2000 and 2029 and _removed > 0").count()
+    removed = out.where("doc_id between 2000 and 2029 and b > 0").count()
     assert removed >= 29  # a shifted passage is found again
+    few = line_dedup.repeated_chunks(df, share=0, salts=3)  # the hot chunk of the passage is dealt out
+    assert Counter(tuple(r) for r in few.collect()) == Counter(tuple(r) for r in line_dedup.repeated_chunks(df).collect())
+    assert {r["text"] for r in out.where("doc_id in (4001, 4002)").collect()} == {"start 1\nend", "start 2\nend"}
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def compare_with_sql(spark, sql, query, **tables):
+    """Rows of a query and of its SQL on the same tables, written as Parquet."""
+    import duckdb
+
+    with tempfile.TemporaryDirectory() as folder:
+        con = duckdb.connect()
+        for name, df in tables.items():
+            df.coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+            con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{folder}/{name}.parquet/*.parquet')")
+        got, want = query(spark, folder), con.execute(sql)
+        names = [c[0] for c in want.description]
+        assert sorted(names) == sorted(got.columns)
+        assert Counter(tuple(r) for r in got.select(*names).collect()) == Counter(want.fetchall())
+
+
+def test_line_dedup_agrees_with_sql(spark, docs):
+    compare_with_sql(spark, OP3_SQL, op3_line_dedup, documents=docs)
+
+
 # --- op4
 
 
