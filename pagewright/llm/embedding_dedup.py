@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import again, written
-from .components import connected_components
+from .components import connected_components, stars
 
 COSINE = 0.98
 TREES = 12
@@ -132,8 +132,6 @@ def _comparer(dims: int, cosine: float, leaf: int, spill: float):
     """Links inside one group of a leaf's vectors, as stars."""
     import pyarrow as pa
 
-    from .simhash import stars
-
     def compare(key, table):
         raw = _matrix(table.column("v").combine_chunks(), dims)
         p = table.column("point").to_numpy()

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import TEXTS, by_name, prefix_for, written
-from .components import connected_components
+from .components import connected_components, stars
 
 SHINGLE = 4
 SEED = 42
@@ -131,25 +131,6 @@ def _block_links(x: np.ndarray, y: np.ndarray, radius: int):
         yield x[k + i], y[j]
 
 
-def stars(a: np.ndarray, b: np.ndarray):
-    """Links to as few as hold the same components: (node, least node)."""
-    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-    u, v = ends[: len(a)], ends[len(a) :]
-    root = np.arange(len(nodes))
-    while True:
-        low = np.minimum(root[u], root[v])
-        before = root.copy()
-        np.minimum.at(root, root[u], low)
-        np.minimum.at(root, root[v], low)
-        np.minimum.at(root, u, low)
-        np.minimum.at(root, v, low)
-        root = root[root]
-        if (root == before).all():
-            break
-    other = root != np.arange(len(nodes))
-    return nodes[other], nodes[root[other]]
-
-
 def cell_links(keys: list[np.ndarray], fp: np.ndarray, radius: int):
     """Links inside the runs of equal keys of sorted rows."""
     n = len(fp)

@@ -77,9 +77,10 @@ def test_components_of_chains_hubs_and_loops(spark):
             a, b = find(a), find(b)
             parent[max(a, b)] = min(a, b)
     df = spark.createDataFrame(edges * 2 + [(None, 3)], "a long, b long")
-    found = {r["node"]: r["root"] for r in components.connected_components(df).collect()}
-    assert found == {x: find(x) for x in parent}
-    assert components.connected_components(df.limit(0)).count() == 0
+    for few in (components.FEW_LINKS, 0):
+        rows = components.connected_components(df, few).collect()
+        assert {r["node"]: r["root"] for r in rows} == {x: find(x) for x in parent} and len(rows) == len(parent)
+        assert components.connected_components(df.limit(0), few).count() == 0
 
 
 # --- ids
