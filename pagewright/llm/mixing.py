@@ -19,12 +19,12 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_name, n_words, ranked, written
+from .common import by_name, n_words, prefix_for, ranked, written
 
 WEIGHTS = (5, 2, 1)
 MOST = 3.0
 #: Documents of a bucket, and residual buckets that a tree node combines.
-BUCKET = 4_096
+BUCKET = 1_024
 FAN = 16
 
 
@@ -89,10 +89,10 @@ def _round(pdf, last: bool, columns):
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST, bucket: int = BUCKET) -> DataFrame:
-    """``doc_id, source, size, source_size, target, copies`` of every row."""
+    """``doc_id, source, size, h`` (a hash of the text), ``source_size, target, copies`` of every row."""
     spark = docs.sparkSession
     doc_id, back = by_name(docs)
-    sized = written(docs.select(doc_id, F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size")))
+    sized = written(docs.select(doc_id, F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h")))
     targets = source_targets(sized, weights, most)
     n = max(1, -(-sized.count() // bucket))
     t = targets.select(F.col("source").alias("_s"), "source_size", "target")
@@ -103,10 +103,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST, bucket: int = BUCK
         .withColumn("rate", rate)
         .withColumn("whole", F.floor("rate"))
         .withColumn("x", F.when(F.col("size") > 0, F.col("rate") - F.col("whole")).otherwise(0.0))
-        .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.lit(n)))
+        .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", "h"), F.lit(n)))
         .drop("rate")
     )
-    columns = ["doc_id", "source", "size", "source_size", "target", "whole", "x", "bucket"]
+    columns = ["doc_id", "source", "size", "h", "source_size", "target", "whole", "x", "bucket"]
     schema = rows.select(columns).schema
 
     def deal(last: bool):
@@ -133,7 +133,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST, bucket: int = BUCK
 
     def level(df: DataFrame, last: bool) -> DataFrame:
         width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        order = ["bucket", "source", F.desc("size"), "doc_id", "x"]
+        order = ["bucket", "source", F.desc("size"), "doc_id", "h", "x"]
         out = df.select(columns).repartition(width, "bucket", "source").sortWithinPartitions(*order)
         return written(out.mapInPandas(deal(last), schema))
 
@@ -149,19 +149,25 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST, bucket: int = BUCK
     out = done[0]
     for more in done[1:]:
         out = out.unionAll(more)
-    return back(out).select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("x").cast("long")).alias("copies"))
+    return back(out).select("doc_id", "source", "size", "h", "source_size", "target", (F.col("whole") + F.col("x").cast("long")).alias("copies"))
 
 
 def mixed_rows(docs: DataFrame, weights=WEIGHTS, most: float = MOST, bucket: int = BUCKET) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it."""
-    key = ["doc_id", "source", "size"]
-    numbered = lambda df, order: df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
-    taken = numbered(mix(docs, weights, most, bucket).select(*key, "copies"), ["copies"]).where("copies > 0")
-    taken = taken.select(*[F.col(c).alias(f"_{c}") for c in key], F.col("_n").alias("_m"), F.col("copies").alias("_copies"))
-    own = docs.withColumn("size", n_words(F.col("text"))) if "size" not in docs.columns else docs.withColumn("_own", F.col("size")).withColumn("size", n_words(F.col("text")))
-    own = numbered(own, ["text"])
-    on = F.col("_n") == F.col("_m")
-    for c in key:
-        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    out = own.join(taken, on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return out.select(*[F.col("_own").alias(c) if c == "size" else F.col(c) for c in docs.columns])
+    """The rows of docs, each as often as the mix takes it.
+
+    Rows are found by id, source and hash of the text, in one shuffle; only rows alike in all three are numbered, and
+    share what the mix takes of them as evenly as it did (such rows are in one task).
+    """
+    own = prefix_for(docs)
+    name = lambda c: f"{own}{c}"
+    text = lambda c: {name(f"{c}_none"): F.col(c).isNull(), name(c): F.coalesce(F.col(c).cast("string"), F.lit(""))}
+    keys = [*text("doc_id"), *text("source"), name("h")]
+    taken = mix(docs, weights, most, bucket).withColumns(text("doc_id") | text("source")).withColumnRenamed("h", name("h"))
+    taken = taken.groupBy(*keys).agg(F.sum("copies").alias(name("sum")), F.count("*").alias(name("rows"))).where(F.col(name("sum")) > 0)
+    found = docs.withColumns(text("doc_id") | text("source") | {name("h"): F.coalesce(F.xxhash64("text"), F.lit(0))}).join(taken, keys)
+    total, rows, n = F.col(name("sum")), F.col(name("rows")), F.col(name("n"))
+    one = found.where(rows == 1).withColumn(name("n"), total)
+    some = found.where(rows > 1).withColumn(name("n"), F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]))))
+    some = some.withColumn(name("n"), F.floor(total / rows) + (n <= total % rows).cast("long")).where(n > 0)
+    out = one.unionByName(some).withColumn(name("copy"), F.explode(F.sequence(F.lit(1), n.cast("int"))))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -27,7 +27,6 @@ QUANTILE = 0.001
 MARGIN = 0.02
 WINDOW = 5
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-_PLACE = (1 << 28) - 1
 
 
 def split_words(docs: DataFrame) -> DataFrame:
@@ -54,12 +53,12 @@ def base_features(docs: DataFrame) -> DataFrame:
     h = lambda k: F.get("_h", k)
     starts = F.when(n >= WINDOW, F.sequence(F.lit(0), n - WINDOW)).otherwise(F.array().cast("array<int>"))
     df = docs.withColumn("_w", F.transform(starts, lambda i: F.xxhash64(*[h(i + k) for k in range(WINDOW)])))
-    # windows found twice: neighbours when sorted by hash, with their place in the low bits
-    placed = F.sort_array(F.transform("_w", lambda x, i: x.bitwiseAND(F.lit(~_PLACE)).bitwiseOR(i.cast("long"))))
-    df = df.withColumn("_s", F.when(F.size(F.array_distinct("_w")) < F.size("_w"), placed).otherwise(F.array().cast("array<bigint>")))
-    at = lambda x: x.bitwiseAND(F.lit(_PLACE)).cast("int")
+    # windows found twice: neighbours when sorted by hash, then by place; looked for only where a hash recurs
+    placed = F.sort_array(F.transform("_w", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    df = df.withColumn("_s", F.when(F.size(F.array_distinct("_w")) < F.size("_w"), placed).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
+    at = lambda x: x["i"]
     words = lambda x: F.slice("_words", at(x) + 1, WINDOW)
-    same = lambda x, y: (x.bitwiseAND(F.lit(~_PLACE)) == y.bitwiseAND(F.lit(~_PLACE))) & (words(x) == words(y))
+    same = lambda x, y: (x["h"] == y["h"]) & (words(x) == words(y))
     twice = F.filter("_s", lambda x, i: F.coalesce(same(x, F.get("_s", i - 1)), F.lit(False)) | F.coalesce(same(x, F.get("_s", i + 1)), F.lit(False)))
     df = df.withColumn("_t", F.sort_array(F.transform(twice, at)))
     covered = F.transform("_t", lambda p, i: F.when(i == 0, WINDOW).otherwise(F.least(F.lit(WINDOW), p - F.get("_t", i - 1))))

@@ -23,6 +23,8 @@ from .tokens import encoder
 DTYPE = "<u2"
 CLOSE = 49_407
 BLOCK_IDS = 1 << 18
+#: Bytes up to which a raw file is read whole.
+WHOLE = 1 << 27
 #: Blocks of a file whose summaries are scanned together.
 SPAN = 512
 
@@ -64,17 +66,39 @@ def write_flat(docs: DataFrame, tokenizer: str, close: int = CLOSE, dtype: str =
     return back(docs.select(doc_id, "text").mapInPandas(run, schema))
 
 
-def read_flat(spark: SparkSession, path: str, dtype: str = DTYPE, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """Blocks of raw token files (each below Spark's limit of 2 GB a file): ``file, block, data``."""
+def read_flat(spark: SparkSession, path: str, dtype: str = DTYPE, block_ids: int = BLOCK_IDS, whole: int = WHOLE) -> DataFrame:
+    """Blocks of raw token files: ``file, block, data``.
+
+    Files of at most ``whole`` bytes are read by Spark, from any store. Larger ones are listed by Spark and
+    read block by block, each task some byte ranges, through Arrow's file systems (local, HDFS, S3 and others).
+    """
     size = block_ids * np.dtype(dtype).itemsize
+    files = spark.read.format("binaryFile").load(path)
+    schema = "file string, block long, data binary"
 
-    def run(batches):
+    def cut(batches):
         for pdf in batches:
             for name, content in zip(pdf["path"], pdf["content"], strict=True):
                 for k in range(0, len(content), size):
                     yield pdf.__class__({"file": [name], "block": [k // size], "data": [content[k : k + size]]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, block long, data binary")
+    def fetch(batches):
+        import re
+
+        from pyarrow import fs
+
+        for pdf in batches:
+            for name, own in pdf.groupby("path"):
+                store, inner = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", name))
+                with store.open_input_file(inner) as f:
+                    for block in own["block"].tolist():
+                        f.seek(block * size)
+                        yield pdf.__class__({"file": [name], "block": [block], "data": [f.read(size)]})
+
+    small = files.where(F.col("length") <= whole).select("path", "content").mapInPandas(cut, schema)
+    large = files.where(F.col("length") > whole).select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / size))).alias("block"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return small.unionAll(large.repartition(n, "path", F.floor(F.col("block") / SPAN)).mapInPandas(fetch, schema))
 
 
 def scan(blocks: DataFrame, close: int = CLOSE, dtype: str = DTYPE, span: int = SPAN) -> DataFrame:

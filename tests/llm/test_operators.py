@@ -463,6 +463,10 @@ def test_quality_base_counts(spark, docs, texts):
     assert {r["score"] for r in quality.judge(df.limit(50), labels.limit(0)).collect()} == {0.0}
 
 
+def le(x):
+    return (x % (1 << 64)).to_bytes(8, "little")
+
+
 def test_log_ratio_agrees_with_brute_force(spark, docs, texts):
     ids = sorted(texts)[:40]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
@@ -504,8 +508,8 @@ def test_scan_stitches_blocks(spark, tmp_path):
             ids += [1] * 5
         (tmp_path / f"{name}.bin").write_bytes(np.array(ids, "<u2").tobytes())
     (tmp_path / "empty.bin").write_bytes(b"")
-    for block_ids, span in ((7, 3), (1, 2), (10_000, 4)):
-        blocks = token_counts.read_flat(spark, f"{tmp_path}/*.bin", block_ids=block_ids)
+    for block_ids, span, whole in ((7, 3, 1 << 20), (1, 2, 0), (10_000, 4, 900), (7, 3, 900)):
+        blocks = token_counts.read_flat(spark, f"{tmp_path}/*.bin", block_ids=block_ids, whole=whole)  # some whole, some by ranges
         got = token_counts.scan(blocks, close=9, span=span).collect()
         assert sorted((r["file"], r["ordinal"], r["start"], r["n_tokens"], r["closed"]) for r in got) == sorted(want)
 
@@ -811,7 +815,10 @@ def test_mixing_meets_targets(spark, docs, bucket):
     assert Counter(out) == Counter(again)
     rows = mixing.mixed_rows(df, bucket=bucket)
     assert rows.columns == df.columns
-    assert rows.count() == sum(r["copies"] for r in out if True)
+    taken_of = Counter()
+    for r in out:
+        taken_of[r["doc_id"], r["source"]] += r["copies"]
+    assert Counter((r["doc_id"], r["source"]) for r in rows.collect()) == +taken_of
     assert mixing.mix(df.limit(0)).count() == 0
 
 
@@ -828,3 +835,22 @@ def test_pivot_keeps_expectations():
         assert set(x) <= {0.0, 1.0}
         mean += x / 4000
     assert np.allclose(mean, [0.3, 0.5, 0.25, 0.6], atol=0.03)
+
+
+# --- names
+
+
+def test_stages_keep_columns_of_any_name(spark, docs):
+    from pagewright.llm import common
+
+    names = ["_key", "_lines", "_ends", "_gone", "_id", "_k", "_chunks", "_removed", "_n", "_copy", "_m", "_copies", "_doc_id", "_own", "_th", "_d", "_t", "_verdict", "_pwn", "_PWH", "_pw_h", "h", "d", "t", "s", "k", "p", "node", "part", "task", "v", "idx", "size", "copies", "a.b"]
+    own = docs.where("doc_id < 60")
+    df = own.select("*", *[F.lit(k).alias(c) for k, c in enumerate(names)])
+    vocabulary = tokenizer_path("byte_bpe_multi_50k.tiktoken")
+    for stage in (lambda x: language_id.keep_known(x, vocabulary, 0.5), line_dedup.dedup_lines, simhash.keep_first, similar.keep_similar, mixing.mixed_rows):
+        out, plain = stage(df), stage(own)
+        assert out.columns == df.columns
+        got = out.collect()
+        assert all(list(r)[len(own.columns):] == [*range(len(names))] for r in got)
+        assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((r["doc_id"], r["text"]) for r in plain.collect())
+    assert not any(c.lower().startswith(common.prefix_for(df)) for c in df.columns)
