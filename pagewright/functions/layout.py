@@ -43,26 +43,25 @@ def reading_order():
 def lines(items: Column, kind: str) -> Column:
     """Cut ordered items into lines, ``array<array<item>>``; kind: the item's type in SQL.
 
-    An item joins the line if its y is within half of the line's mean height of the item before.
+    An item joins the line if its y is within half of the line's mean height of the item before. The fold
+    carries numbers and the places where lines begin, and copies the latter only at a break; lines are then slices.
     """
-    empty = F.array().cast(f"array<{kind}>")
-    zero = F.struct(
-        F.array().cast(f"array<array<{kind}>>").alias("done"), empty.alias("line"),
-        F.lit(0.0).alias("heights"), F.lit(None).cast("int").alias("y"),
-    )
+    zero = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("i"), F.lit(0).alias("n"), F.lit(0.0).alias("heights"), F.lit(None).cast("int").alias("y"))
 
     def step(acc, item):
         height = item["box"]["height"].cast("double")
-        near = F.abs(item["box"]["y"] - acc["y"]) <= F.lit(0.5) * (acc["heights"] / F.size(acc["line"]))
-        joins = (F.size(acc["line"]) == 0) | near
+        joins = (acc["n"] > 0) & F.coalesce(F.abs(item["box"]["y"] - acc["y"]) <= F.lit(0.5) * (acc["heights"] / acc["n"]), F.lit(False))
         return F.struct(
-            F.when(joins, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["line"]))).alias("done"),
-            F.when(joins, F.concat(acc["line"], F.array(item))).otherwise(F.array(item)).alias("line"),
+            F.when(joins, acc["starts"]).otherwise(F.concat(acc["starts"], F.array(acc["i"]))).alias("starts"),
+            (acc["i"] + 1).alias("i"),
+            F.when(joins, acc["n"] + 1).otherwise(F.lit(1)).alias("n"),
             F.when(joins, acc["heights"] + height).otherwise(height).alias("heights"),
             item["box"]["y"].alias("y"),
         )
 
-    return F.aggregate(items, zero, step, lambda acc: F.when(F.size(acc["line"]) > 0, F.concat(acc["done"], F.array(acc["line"]))).otherwise(acc["done"]))
+    starts = F.aggregate(items, zero, step, lambda acc: F.concat(acc["starts"], F.array(acc["i"])))  # and the end
+    cut = lambda s: F.transform(F.slice(s, 1, F.size(s) - 1), lambda at, k: F.slice(items, at + 1, F.get(s, k + 1) - at))
+    return F.get(F.transform(F.array(starts), cut), 0)  # named once
 
 
 def text_of(found: Column) -> Column:

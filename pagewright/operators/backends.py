@@ -11,7 +11,9 @@ class Onnx:
     """Runs a model's bytes, broadcast to the workers; its first output is returned."""
 
     def __init__(self, spark, path: str):
-        rows = spark.read.format("binaryFile").load(path).select("content").collect()  # one model file
+        from pagewright.sources.images import resolve
+
+        rows = spark.read.format("binaryFile").load(resolve(path)).select("content").collect()  # one model file
         if len(rows) != 1:
             raise FileNotFoundError(path)
         content = bytes(rows[0]["content"])

@@ -18,29 +18,30 @@ def _runs(mask: np.ndarray):
     return y, a, b
 
 
+def _joined(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The least member of each node's set, by hooking and jumping over all links at once."""
+    root = np.arange(n)
+    while len(u):
+        a, b = root[u], root[v]
+        apart = a != b
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+    return root
+
+
 def _regions(mask: np.ndarray, reach: int) -> np.ndarray:
     """Boxes (x0, y0, x1, y1) of regions, by their first pixel; reach 1: diagonals touch."""
     y, a, b = _runs(mask)
-    parent = np.arange(len(y))
-
-    def find(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    starts = np.searchsorted(y, np.arange(mask.shape[0] + 1))
-    for row in range(1, mask.shape[0]):
-        i, j = starts[row - 1], starts[row]
-        while i < starts[row] and j < starts[row + 1]:
-            if a[i] < b[j] + reach and a[j] < b[i] + reach:
-                p, q = find(i), find(j)
-                parent[max(p, q)] = min(p, q)
-            if b[i] < b[j]:
-                i += 1
-            else:
-                j += 1
-    roots = np.array([find(i) for i in range(len(y))], int)
+    # runs of the row above that overlap: they follow each other, as runs are in raster order
+    wide = mask.shape[1] + 4
+    low = np.searchsorted((y + 1) * wide + b + reach, y * wide + a, side="right")
+    high = np.searchsorted((y + 1) * wide + a, y * wide + b + reach, side="left")
+    n = np.maximum(high - low, 0)
+    own = np.repeat(np.arange(len(y)), n)
+    above = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+    roots = _joined(len(y), own, above)
     firsts, at = np.unique(roots, return_inverse=True)
     out = np.empty((len(firsts), 4), int)
     out[:, :2], out[:, 2:] = 1 << 30, -1
@@ -49,12 +50,11 @@ def _regions(mask: np.ndarray, reach: int) -> np.ndarray:
     return out
 
 
-def contour_boxes(mask: np.ndarray) -> list[tuple[bool, int, int, int, int]]:
-    """(hole, x, y, width, height) of every border, last ones in raster order first."""
+def contour_boxes(mask: np.ndarray) -> np.ndarray:
+    """Rows of (hole, x, y, width, height) of every border, last ones in raster order first."""
     h, w = mask.shape
-    found = [(False, *map(int, r)) for r in _regions(mask, 1)]
-    for x0, y0, x1, y1 in _regions(~mask, 0):
-        if x0 > 0 and y0 > 0 and x1 < w and y1 < h:
-            found.append((True, int(x0) - 1, int(y0) - 1, int(x1) + 1, int(y1) + 1))
-    found.sort(key=lambda r: (r[2], r[1]), reverse=True)
-    return [(hole, x0, y0, x1 - x0, y1 - y0) for hole, x0, y0, x1, y1 in found]
+    outer, inner = _regions(mask, 1), _regions(~mask, 0)
+    inner = inner[(inner[:, :2] > 0).all(axis=1) & (inner[:, 2] < w) & (inner[:, 3] < h)] + np.array([-1, -1, 1, 1])
+    x0, y0, x1, y1 = np.concatenate([outer, inner]).T
+    hole = np.arange(len(x0)) >= len(outer)
+    return np.stack([hole, x0, y0, x1 - x0, y1 - y0], axis=1)[np.lexsort((-x0, -y0))]

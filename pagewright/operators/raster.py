@@ -7,6 +7,8 @@ import zlib
 
 import numpy as np
 
+from pagewright.operators.boxes import half_up
+
 
 def rgb(image) -> np.ndarray:
     """Spark's image struct (gray, BGR or BGRA) as height x width x 3, in RGB."""
@@ -32,8 +34,7 @@ def resize(px: np.ndarray, width: int, height: int) -> np.ndarray:
 
 
 def round_half_up(x: float) -> int:
-    whole = int(np.floor(x))
-    return whole + (x - whole >= 0.5)
+    return int(half_up(x))
 
 
 def model_size(width: int, height: int, max_side: int):

@@ -8,8 +8,9 @@ row that comes back. Nothing is shuffled: partitions of images are the paralleli
 from __future__ import annotations
 
 import logging
+import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,53 +18,70 @@ from pagewright.functions import geometry, layout
 from pagewright.operators.backends import backend
 from pagewright.options import OcrOptions, merged
 from pagewright.schemas import BOX, ITEM
-from pagewright.sources.images import load_dictionary
+from pagewright.sources.images import default_models, load_dictionary
+from pagewright.sources.sinks import write_debug
 
 log = logging.getLogger("pagewright")
 _shared: list = [None]
 
 
-def found_boxes(image, model, options) -> tuple[list[dict], object]:
+def found_boxes(image, model, options, tell=None) -> tuple[list[dict], object]:
     """Boxes on one image, in its own pixels, and the gray map they come from."""
-    from pagewright.operators import raster
+    from pagewright.operators import boxes, raster
     from pagewright.operators.contours import contour_boxes
 
+    tell = tell or (lambda *_: None)
+    tell("detection", "Starting text detection process")
     px = raster.rgb(image)
     tensor, ratio, W, H = raster.detection_tensor(px, options)
+    tell("detection", f"Image of {px.shape[1]}x{px.shape[0]} as {W}x{H} (ratio: {ratio:.4f})")
     gray = raster.gray_map(model(tensor).ravel()[: H * W].reshape(H, W))
-    out = []
-    half = raster.round_half_up
-    for _, x, y, w, h in contour_boxes(gray > 0):
-        if w * h <= options.min_area:
-            continue
-        v, s = half(h * options.pad_vertical), half(h * options.pad_horizontal)
-        x0, y0, x1, y1 = max(0, x - s), max(0, y - v), min(W, x + w + s), min(H, y + h + v)
-        bx, by = max(0, half(x0 / ratio)), max(0, half(y0 / ratio))
-        w, h = min(px.shape[1] - bx, half((x1 - x0) / ratio)), min(px.shape[0] - by, half((y1 - y0) / ratio))
-        if w > geometry.LEAST_SIDE and h > geometry.LEAST_SIDE:
-            out.append({"x": bx, "y": by, "width": w, "height": h})
-    return out, gray
+    found = boxes.in_image(contour_boxes(gray > 0)[:, 1:], (W, H), ratio, px.shape[1::-1], options)
+    tell("detection", f"Detected {len(found)} text boxes in image")
+    return [dict(zip(("x", "y", "width", "height"), b, strict=True)) for b in found.tolist()], gray
 
 
-def read_items(image, boxes, model, options) -> tuple[list[dict], list[str]]:
-    """Items of the boxes that can be read, in reading order, and what went wrong with others."""
+def read_items(image, boxes, model, options, tell=None, strange=None) -> tuple[list[dict], list[str]]:
+    """Items of the boxes that can be read, in reading order, and what went wrong with others.
+
+    tell: gets a line for each box; strange: gets the number of a model's classes where the dictionary has another.
+    """
     from pagewright.operators import raster
 
-    px, items, errors = raster.rgb(image), [], []
+    tell = tell or (lambda *_: None)
+    px, items, errors, warned = raster.rgb(image), [], [], False
     for k, b in enumerate(boxes):
+        start = time.perf_counter()
         b = {n: int(b[n]) for n in ("x", "y", "width", "height")}
         if b["width"] <= 0 or b["height"] <= 0:
             errors.append(f"box {k} has no pixels")
             continue
         try:
             out = model(raster.recognition_tensor(raster.crop(px, b), options.image_height))
+            if out.shape[-1] != len(options.dictionary) and not warned:
+                warned = True
+                log.warning("the model has %d classes, the dictionary %d", out.shape[-1], len(options.dictionary))
+                if strange:
+                    strange(out.shape[-1])
             text, confidence = raster.decode_steps(out.reshape(out.shape[-2:]), options.dictionary)
             items.append({"text": text, "box": b, "confidence": confidence})
+            ms = (time.perf_counter() - start) * 1000
+            tell("recognition", f"Box {k + 1}/{len(boxes)}: [x:{b['x']}, y:{b['y']}, w:{b['width']}, h:{b['height']}] -> \"{text}\" (processed in {ms:.0f} ms)", ms)
         except Exception as e:  # one box does not end the others
             errors.append(f"box {k}: {e}")
     return layout.in_reading_order(items), errors
 
 
+def logged(debugging, image_id):
+    """What writes lines to the worker's log, where options ask for it: boxes only with debug and verbose."""
+
+    def tell(service, text, ms=None):
+        if ms is None or debugging.debug:
+            log.info("[%s] %s: %s", service, image_id, text)
+
+    return tell if debugging.verbose else None
+
+
 class OcrEngine:
     """Built from options or dicts of options; use create(), or get_or_create() for one that is shared."""
 
@@ -75,6 +93,8 @@ class OcrEngine:
     def initialize(self, changes: dict | None = None) -> OcrEngine:
         """Check and load the models and the dictionary, on the driver; changes may touch any option."""
         self.options = merged(self.options, changes)
+        known = default_models()
+        self.options = merged(self.options, {"model": {n: p for n, p in known.items() if getattr(self.options.model, n) is None and not (n == "dictionary" and self.options.recognition.dictionary)}})
         m = self.options.model
         missing = [n for n in ("detection", "recognition") if getattr(m, n) is None]
         if missing or (m.dictionary is None and not self.options.recognition.dictionary):
@@ -117,7 +137,7 @@ class OcrEngine:
                     try:
                         rows.append(run(row))
                     except Exception as e:
-                        rows.append({n: [] for n in names[:-1]} | {"error": str(e)})
+                        rows.append({f.name: [] if isinstance(f.dataType, T.ArrayType) else 0 for f in fields[:-1]} | {"error": str(e)})
                 out = pdf[[f.name for f in keep]].copy()
                 for n in names:
                     out[n] = [r.get(n) for r in rows]
@@ -141,17 +161,52 @@ class OcrEngine:
 
         return self._map(df, run, [T.StructField("items", T.ArrayType(ITEM)), T.StructField("error", T.StringType())]).drop("boxes")
 
-    def recognize(self, df: DataFrame, flatten: bool = False) -> DataFrame:
-        """``text, lines`` (or ``results``), ``confidence, error`` of each image; an image that fails is empty."""
+    def recognize(self, df: DataFrame, flatten: bool = False, observation: Observation | None = None) -> DataFrame:
+        """``text, lines`` (or ``results``), ``confidence, error`` of each image; an image that fails is empty.
+
+        observation: gets the counts of images, boxes, items, of images with an error, and of those
+        where the model's classes are not as many as the dictionary's entries.
+        """
         (find, read), options = self._ready(), self.options
 
         def run(row):
-            boxes, _ = found_boxes(row["image"], find, options.detection)
-            items, errors = read_items(row["image"], boxes, read, options.recognition)
-            return {"items": items, "error": "; ".join(errors) or None}
+            tell, strange = logged(options.debugging, row.get("image_id")), []
+            boxes, _ = found_boxes(row["image"], find, options.detection, tell)
+            items, errors = read_items(row["image"], boxes, read, options.recognition, tell, strange.append)
+            return {"items": items, "n_boxes": len(boxes), "n_strange": len(strange), "error": "; ".join(errors) or None}
+
+        counts = [T.StructField("n_boxes", T.LongType()), T.StructField("n_strange", T.LongType())]
+        items = self._map(df, run, [T.StructField("items", T.ArrayType(ITEM)), *counts, T.StructField("error", T.StringType())])
+        if observation is not None:
+            total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+            items = items.observe(observation, F.count("*").alias("images"), total("n_boxes").alias("boxes"), total(F.size("items")).alias("items"), F.count("error").alias("errors"), total("n_strange").alias("strange_dictionaries"))
+        return layout.assemble(items.drop("n_boxes", "n_strange"), flat=flatten)
+
+    def trace(self, df: DataFrame) -> DataFrame:
+        """What verbose logging says, as rows: ``step, service, message, elapsed_ms`` (of boxes) of each image."""
+        (find, read), options = self._ready(), self.options
+        line = T.StructType([T.StructField("service", T.StringType()), T.StructField("message", T.StringType()), T.StructField("elapsed_ms", T.DoubleType())])
 
-        items = self._map(df, run, [T.StructField("items", T.ArrayType(ITEM)), T.StructField("error", T.StringType())])
-        return layout.assemble(items, flat=flatten)
+        def run(row):
+            said = []
+            tell = lambda service, text, ms=None: said.append({"service": service, "message": text, "elapsed_ms": ms})
+            try:
+                boxes, _ = found_boxes(row["image"], find, options.detection, tell)
+                errors = read_items(row["image"], boxes, read, options.recognition, tell, lambda n: tell("recognition", f"Warning: the model has {n} classes, the dictionary {len(options.recognition.dictionary)}"))[1]
+            except Exception as e:
+                errors = [f"Error during text detection: {e}"]
+            for e in errors:
+                tell("recognition", e)
+            return {"lines": said}
+
+        out = self._map(df, run, [T.StructField("lines", T.ArrayType(line)), T.StructField("error", T.StringType())])
+        keep = [c for c in out.columns if c not in ("lines", "error")]
+        return out.select(*keep, F.posexplode("lines").alias("step", "l")).select(*keep, "step", "l.*")
+
+    def save_debug(self, df: DataFrame) -> None:
+        """Write debug() to the options' folder, where options ask for it."""
+        if self.options.debugging.debug:
+            write_debug(self.debug(df), self.options.debugging.folder)
 
     def debug(self, df: DataFrame) -> DataFrame:
         """PNG files of the gray map, the boxes and the crops of each image, and the time each image took."""
@@ -159,8 +214,6 @@ class OcrEngine:
         file = T.StructType([T.StructField("kind", T.StringType()), T.StructField("name", T.StringType()), T.StructField("png", T.BinaryType()), T.StructField("elapsed_ms", T.DoubleType())])
 
         def run(row):
-            import time
-
             from pagewright.operators import raster
 
             start = time.perf_counter()

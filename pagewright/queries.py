@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright import image_queries
 from pagewright.functions import ctc, geometry, layout, tensors
 from pagewright.options import DetectionOptions
 from pagewright.schemas import BOX, ITEM
@@ -182,7 +183,7 @@ def contour_boxes(spark, sf_dir):
         from pagewright.operators import contours, raster
 
         for pdf in batches:
-            rows = [(vec, *box) for vec, v in zip(pdf["vec_id"], pdf["embedding"], strict=True) for box in contours.contour_boxes(raster.gray_map(np.asarray(v, float)).reshape(8, 8) > 0)]
+            rows = [(vec, bool(hole), *box) for vec, v in zip(pdf["vec_id"], pdf["embedding"], strict=True) for hole, *box in contours.contour_boxes(raster.gray_map(np.asarray(v, float)).reshape(8, 8) > 0).tolist()]
             yield pdf.__class__(rows, columns=["vec_id", "hole", "x", "y", "width", "height"])
 
     return kind.mapInPandas(run, "vec_id long, hole boolean, x int, y int, width int, height int")
@@ -262,8 +263,9 @@ _LINE_ORDER = ["y", "x", "hgt", "l_partkey", "l_suppkey"]
 _LINE = "CAST(l_partkey * 13 % 120 AS INT) AS y, CAST(l_suppkey % 97 AS INT) AS x, CAST(8 + l_quantity AS INT) AS hgt"
 
 
-def _order_items(spark, sf_dir):
-    df = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_partkey", "l_suppkey", *[c.strip() for c in _LINE.split(", ")])
+def _order_items(spark, sf_dir, those=None):
+    df = _table(spark, sf_dir, "lineitem")
+    df = (df if those is None else df.where(those)).selectExpr("l_orderkey", "l_partkey", "l_suppkey", *[c.strip() for c in _LINE.split(", ")])
     c = F.col
     return _items(df, ["l_orderkey"], c("y"), c("x"), c("hgt"), F.concat(F.lit("p"), c("l_partkey").cast("string")), (c("l_suppkey") % 10) / F.lit(10.0), [c(n) for n in _LINE_ORDER])
 
@@ -317,10 +319,10 @@ def _pages(spark, sf_dir):
     df = _table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", "role", "text", "CAST(turn DIV 2 * 50 AS INT) AS y", "CAST(turn % 2 * 30 AS INT) AS x")
     c = F.col
     conf = F.coalesce(F.length("text") % 100, F.lit(0)) / F.lit(100.0)
-    return _items(df, ["conv_id"], c("y"), c("x"), F.lit(20), F.substring(F.coalesce("text", F.lit("")), 1, 12), conf, [c("turn"), c("role"), c("text")])
+    return _items(df, ["conv_id"], c("y"), c("x"), F.lit(20), F.coalesce("text", F.lit("")), conf, [c("turn"), c("role"), c("text")])
 
 
-_PAGE_ROWS = """SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i, CAST(turn // 2 AS INT) AS l, substr(coalesce(text, ''), 1, 12) AS t,
+_PAGE_ROWS = """SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i, CAST(turn // 2 AS INT) AS l, coalesce(text, '') AS t,
   coalesce(length(text) % 100, 0) / CAST(100 AS DOUBLE) AS c FROM conversations"""
 
 
@@ -351,8 +353,8 @@ FLAT_SQL = f"SELECT conv_id, CAST(i - 1 AS INT) AS pos, t AS text, round(c, 6) A
 
 
 def empty_image(spark, sf_dir):
-    """Orders as images: one without a box still has a row."""
-    boxes = _order_items(spark, sf_dir).where("l_orderkey % 3 = 0")
+    """Orders as images, each item a box one pixel high: those that the area filter leaves without a box still have a row."""
+    boxes = _order_items(spark, sf_dir, geometry.large_enough(geometry.box(F.lit(0), F.lit(0), F.col("l_quantity"), F.lit(1))))
     orders = _table(spark, sf_dir, "orders").select("o_orderkey")
     out = layout.assemble(orders.join(boxes, F.col("o_orderkey") == F.col("l_orderkey"), "left"))
     return out.select("o_orderkey", F.size(F.flatten("lines")).alias("n_items"), F.length("text").alias("text_length"), F.round("confidence", 6).alias("confidence"))
@@ -360,7 +362,7 @@ def empty_image(spark, sf_dir):
 
 EMPTY_SQL = """SELECT o.o_orderkey, CAST(coalesce(n, 0) AS INT) AS n_items, CAST(coalesce(t, 0) AS INT) AS text_length, coalesce(c, 0) AS confidence
 FROM orders o LEFT JOIN (SELECT l_orderkey, count(*) AS n, sum(length('p' || CAST(l_partkey AS VARCHAR))) + count(*) - 1 AS t, round(avg((l_suppkey % 10) / CAST(10 AS DOUBLE)), 6) AS c
-  FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY l_orderkey) AS a ON a.l_orderkey = o.o_orderkey"""
+  FROM lineitem WHERE CAST(l_quantity AS INT) > 20 GROUP BY l_orderkey) AS a ON a.l_orderkey = o.o_orderkey"""
 
 
 def det_to_text(spark, sf_dir):
@@ -412,6 +414,7 @@ _ALL = {
     "flatten_results": (flatten_results, FLAT_SQL),
     "empty_image": (empty_image, EMPTY_SQL),
     "det_to_text": (det_to_text, FLAGSHIP_SQL),
+    **image_queries.QUERIES,
 }
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from importlib import resources
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,13 @@ def resolve(path: str) -> str:
     return path if "://" in path else os.path.abspath(path)
 
 
+def default_models() -> dict[str, str]:
+    """Model files that lie in the package's own ``models`` folder: detection.onnx, recognition.onnx, dictionary.txt."""
+    folder = resources.files("pagewright") / "models"
+    names = {"detection": "detection.onnx", "recognition": "recognition.onnx", "dictionary": "dictionary.txt"}
+    return {k: str(folder / name) for k, name in names.items() if (folder / name).is_file()}
+
+
 def dictionary_rows(df: DataFrame, text: str) -> DataFrame:
     """``class_id, ch`` and the other columns, one row a line of text; a last empty line counts."""
     return df.select(*[c for c in df.columns if c != text], F.posexplode(F.split(text, "\n", -1)).alias("class_id", "ch"))
