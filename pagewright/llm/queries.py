@@ -91,6 +91,47 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+OP5_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT a AS vec_id, a AS root FROM l UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.vec_id),
+c AS (SELECT vec_id, min(root) AS root FROM r GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, coalesce(c.root, e.vec_id) AS component_id, e.vec_id = coalesce(c.root, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN n ON n.vec_id = e.vec_id LEFT JOIN c ON c.vec_id = e.vec_id
+"""
+
+
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op6 returns, less the verdict of its method, which SQL can't express."""
+    return op6_quality_rules(spark, sf_dir).drop("kept", "score")
+
+
+BASE_SQL = r"""
+WITH w AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+u AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
+g AS (
+  SELECT doc_id, i, lead(word, 4) OVER t IS NOT NULL AS whole,
+    word || ' ' || lead(word, 1) OVER t || ' ' || lead(word, 2) OVER t || ' ' || lead(word, 3) OVER t || ' ' || lead(word, 4) OVER t AS five
+  FROM u WINDOW t AS (PARTITION BY doc_id ORDER BY i)),
+t AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, five) AS n FROM g WHERE whole),
+k AS (SELECT DISTINCT doc_id, i + j AS i FROM t, range(5) AS x(j) WHERE n >= 2),
+s AS (SELECT doc_id, count(*) AS n_repeat_words FROM k GROUP BY doc_id),
+a AS (
+  SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+    CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN s ON s.doc_id = w.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_repeat_words,
+  n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed
+FROM a
+"""
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -107,15 +148,34 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"))
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op10 returns, less the words taken, which are random; targets are rounded."""
+    return op10_mixing(spark, sf_dir).drop("taken").withColumn("target", F.round("target", 4))
+
+
+TARGET_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w FROM d GROUP BY source),
+o AS (SELECT *, CAST(3 AS DOUBLE) * source_size AS cap, row_number() OVER (ORDER BY 3.0 * source_size / w, source) AS k FROM s),
+l AS (
+  SELECT k, cap / w AS most,
+    ((SELECT sum(source_size) FROM s) - coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / CAST(sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level
+  FROM o),
+x AS (SELECT level FROM l WHERE level <= most ORDER BY k LIMIT 1)
+SELECT d.doc_id, d.size, o.source_size, round(least(o.cap, o.w * (SELECT level FROM x)), 4) AS target
+FROM d JOIN o ON d.source IS NOT DISTINCT FROM o.source
+"""
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def queries() -> dict:
-    own = (op1_language_id, op2_chat_format, op3_line_dedup, op4_best_fit_packing, op5_embedding_dedup, op6_quality_rules, op7_token_counts, op8_simhash, op9_lm_score, op10_mixing)
+    own = (op1_language_id, op2_chat_format, op3_line_dedup, op4_best_fit_packing, op5_embedding_dedup, op6_quality_rules, op7_token_counts, op8_simhash, op9_lm_score, op10_mixing, quality_base_counts, mixing_targets)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": OP2_SQL, "op3_line_dedup": OP3_SQL}
+    return {"op2_chat_format": OP2_SQL, "op3_line_dedup": OP3_SQL, "op5_embedding_dedup": OP5_SQL, "quality_base_counts": BASE_SQL, "mixing_targets": TARGET_SQL}

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from pagewright.llm import chat, components, embedding_dedup, language_id, line_dedup, lm_score, mixing, packing, quality, similar, simhash, token_counts
-from pagewright.llm.queries import OP2_SQL, OP3_SQL, op2_chat_format, op3_line_dedup, tokenizer_path
+from pagewright.llm.queries import OP2_SQL, op2_chat_format, oracle_sql, queries, tokenizer_path
 
 SF = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -285,8 +285,10 @@ def compare_with_sql(spark, sql, query, **tables):
         assert Counter(tuple(r) for r in got.select(*names).collect()) == Counter(want.fetchall())
 
 
-def test_line_dedup_agrees_with_sql(spark, docs):
-    compare_with_sql(spark, OP3_SQL, op3_line_dedup, documents=docs)
+@pytest.mark.parametrize("name", [n for n in oracle_sql() if n != "op2_chat_format"])
+def test_query_agrees_with_sql(spark, name):
+    tables = {n: spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "embeddings", "labels")}
+    compare_with_sql(spark, oracle_sql()[name], queries()[name], **tables)
 
 
 # --- op4
