@@ -14,7 +14,7 @@ from pagewright.plans.engine import OcrEngine, create, get_or_create
 from pagewright.plans.sql import register
 from pagewright.sources import sinks
 from pagewright.sources.images import load_dictionary, read_images
-from pagewright.streaming import stream_images
+from pagewright.streaming import stream_folder, stream_images
 
 DICTIONARY = ("", "a", "b", "c", " ")
 
@@ -171,6 +171,94 @@ def test_sql_functions(spark):
     assert (got["text"], got["confidence"]) == ("aa", 0.75)
 
 
+def test_ctc_decode_in_sql_is_an_expression_and_null_safe(spark):
+    register(spark, ("", "it's", "b\\", "<unk>"))
+    df = spark.sql("""SELECT k, ctc_decode(v, t, c) AS d FROM VALUES
+        (1, array(0f, 1f, 0f, 0f, 0f, 0f, 1f, 0f, 0f, 0f, 0f, 1f), 3, 4), (2, null, 1, 4), (3, array(1f), 1, 4), (4, array(1f), null, 4),
+        (5, array(0f), 0, 4), (6, array(float('nan'), null, 0.5f, float('-inf')), 1, 4), (7, array(1f), 1, 0), (8, array(float('nan')), 1, 1) AS x(k, v, t, c)""")
+    got = {r["k"]: None if r["d"] is None else tuple(r["d"]) for r in df.collect()}
+    assert got == {1: ("it's" + "b\\", 1.0), 2: None, 3: None, 4: None, 5: ("", 0.0), 6: ("b\\", 0.5), 7: None, 8: ("", 0.0)}
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ctc_decode_in_sql_agrees_with_numpy(spark):
+    rng = np.random.default_rng(3)
+    words = tuple("-abc ")
+    register(spark, words)
+    rows = [(k, [float(np.float32(x)) for x in rng.integers(0, 4, 30)], 6, 5) for k in range(60)]
+    df = spark.createDataFrame(rows, "k int, v array<float>, t int, c int").selectExpr("k", "ctc_decode(v, t, c) AS d")
+    for r in df.collect():
+        assert tuple(r["d"]) == raster.decode_steps(np.array(rows[r["k"]][1]).reshape(6, 5), words)
+
+
+def test_detect_boxes_in_sql(spark, ocr, folder):
+    register(spark, engine=ocr)
+    images = read_images(spark, str(folder))
+    images.createOrReplaceTempView("pages_in")
+    got = {r["image_id"]: r["boxes"] for r in spark.sql("SELECT image_id, detect_boxes(image) AS boxes FROM pages_in").collect()}
+    want = {r["image_id"]: r["boxes"] for r in ocr.detect(images).collect()}
+    assert {k: v or [] for k, v in got.items()} == want and any(want.values())
+
+
+def test_trace_and_counts(spark, folder):
+    from pyspark.sql import Observation
+
+    engine = create(spark, {"model": MODEL | {"dictionary": [*DICTIONARY, "more"]}, "debugging": {"verbose": True, "debug": True}})
+    images = read_images(spark, str(folder))
+    rows = [r for r in engine.trace(images).orderBy("image_id", "step").collect() if r["image_id"].endswith("/page.png")]
+    said = [r["message"] for r in rows]
+    assert said[0] == "Starting text detection process" and "Detected 3 text boxes in image" in said
+    assert "(ratio: 1.0000)" in said[1] and sum("Warning: the model has 5 classes, the dictionary 6" in m for m in said) == 1
+    boxes = [r for r in rows if r["message"].startswith("Box ")]
+    assert len(boxes) == 3 and "Box 1/3: [x:" in boxes[0]["message"] and all(r["elapsed_ms"] >= 0 for r in boxes)
+    seen = Observation()
+    assert engine.recognize(images, observation=seen).count() == 4
+    assert seen.get == {"images": 4, "boxes": 6, "items": 6, "errors": 1, "strange_dictionaries": 2}
+
+
+def test_debug_files_are_written_where_options_ask(spark, folder, tmp_path):
+    images = read_images(spark, str(folder), pattern="page.png")
+    for debug in (False, True):
+        create(spark, {"model": MODEL, "debugging": {"debug": debug, "folder": str(tmp_path / "out")}}).save_debug(images)
+        assert (tmp_path / "out").exists() == debug
+
+
+def test_models_are_found_and_paths_resolved(spark, folder, tmp_path, monkeypatch):
+    from pagewright.sources import images as sources
+
+    (tmp_path / "models").mkdir()
+    (tmp_path / "models" / "detection.onnx").write_bytes(onnx_model("ReduceMax", 1))
+    (tmp_path / "models" / "dictionary.txt").write_text("\n".join(DICTIONARY))
+    monkeypatch.setattr(sources.resources, "files", lambda _: tmp_path)
+    assert {*sources.default_models()} == {"detection", "dictionary"}
+    engine = create(spark, {"model": {"recognition": width_is_letter}})
+    assert engine.options.recognition.dictionary == DICTIONARY and engine.options.model.detection.endswith("detection.onnx")
+    monkeypatch.chdir(tmp_path)
+    create(spark, {"model": MODEL | {"detection": "models/detection.onnx"}}).destroy()
+
+
+def test_stream_of_every_format(spark, ocr, folder, tmp_path):
+    got = {}
+    handle = lambda images, _: got.update({r["image_id"].rsplit("/", 1)[-1]: r["text"] for r in ocr.recognize(images).collect()})
+    stream_folder(spark, str(folder), handle, str(tmp_path), files_per_trigger=2).trigger(availableNow=True).start().awaitTermination(120)
+    assert got == {"page.png": "ab c\nab", "gray.png": "ab c\nab", "blank.png": "", "broken.png": ""}
+
+
+def test_boxes_agree_with_column_expressions(spark):
+    from pagewright.functions import geometry
+    from pagewright.operators import boxes
+
+    rng = np.random.default_rng(8)
+    found = np.concatenate([rng.integers(0, 600, (300, 2)), rng.integers(1, 90, (300, 2))], axis=1)
+    size, options = (1500, 1100), DetectionOptions()
+    w, h, ratio, W, H = raster.model_size(*size, options.max_side)
+    df = spark.createDataFrame(found.tolist(), "x int, y int, bw int, bh int").withColumn("b", geometry.box(*map(F.col, ("x", "y", "bw", "bh")))).where(geometry.large_enough(F.col("b")))
+    df = geometry.settled(df, "b", geometry.padded(F.col("b"), F.lit(W), F.lit(H)))
+    df = geometry.settled(df, "b", geometry.rescaled(F.col("b"), F.lit(ratio), F.lit(size[0]), F.lit(size[1])))
+    want = sorted(tuple(r["b"]) for r in geometry.only_final(df, "b").collect())
+    assert sorted(map(tuple, boxes.in_image(found, (W, H), ratio, size, options).tolist())) == want
+
+
 def field(number, value):
     """A protobuf field: bytes, text, or a small number."""
     if isinstance(value, int):
