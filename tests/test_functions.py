@@ -197,3 +197,12 @@ def test_tensors():
     assert raster.resize(ramp, 4, 1).ravel().tolist() == [15, 75, 135, 195]
     bgra = {"height": 1, "width": 1, "nChannels": 4, "data": bytes([1, 2, 3, 4])}
     assert raster.rgb(bgra).ravel().tolist() == [3, 2, 1]
+
+
+def test_last_test_of_boxes_stays_above_the_chain(spark):
+    """The row number is a fence: without it the optimizer repeats the whole chain inside the filter."""
+    from pagewright import queries
+
+    plan = queries.box_pipeline(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    filters = [x for x in plan.splitlines() if "Filter" in x and "_row" in x]
+    assert len(filters) == 1 and len(filters[0]) < 600
