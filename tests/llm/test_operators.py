@@ -285,6 +285,15 @@ def compare_with_sql(spark, sql, query, **tables):
         assert Counter(tuple(r) for r in got.select(*names).collect()) == Counter(want.fetchall())
 
 
+def test_chat_agrees_with_sql_on_nulls_and_ties(spark):
+    rng, rows = random.Random(4), []
+    for conv in range(60):
+        for _ in range(rng.randint(1, 5)):
+            rows.append((conv if rng.random() < 0.95 else None, rng.choice([None, 0, 1, 2]), rng.choice([None, "user", "assistant"]), rng.choice([None, "", "a", "b"])))
+    df = spark.createDataFrame(rows * 2, "conv_id long, turn long, role string, text string")
+    compare_with_sql(spark, OP2_SQL, op2_chat_format, conversations=df)
+
+
 @pytest.mark.parametrize("name", [n for n in oracle_sql() if n != "op2_chat_format"])
 def test_query_agrees_with_sql(spark, name):
     tables = {n: spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "embeddings", "labels")}
