@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import pandas_udf, udtf
 
-from pagewright.functions.layout import reading_order
+from pagewright.functions.layout import reading_order_udf
 from pagewright.schemas import BOX
 
 
@@ -81,7 +81,7 @@ def detect_udf(engine):
 def register(spark: SparkSession, dictionary=(), engine=None) -> None:
     """With an engine, its dictionary holds and ``detect_boxes`` is there too."""
     spark.udtf.register("contour_boxes", contour_udtf())
-    spark.udf.register("reading_order", reading_order())
+    spark.udf.register("reading_order", reading_order_udf())
     spark.sql(decode_sql(dictionary or (engine.options.recognition.dictionary if engine else ())))
     if engine:
         spark.udf.register("detect_boxes", detect_udf(engine))
