@@ -322,10 +322,10 @@ def _fitted(docs: DataFrame, vocabulary: str, sample_docs: int):
 
 
 def keep_known(docs: DataFrame, vocabulary: str, least: float, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """The rows whose text is of a learned language with a score of least or more."""
+    """The rows whose text is of a learned language with a score of least or more, as a table: the model is not run again, and batches are small."""
     verdict = prefix_for(docs)
     out = docs.withColumn(verdict, _fitted(docs, vocabulary, sample_docs)("text"))
-    return out.where((F.col(verdict)["lang_pred"] != "und") & (F.col(verdict)["score"] >= least)).drop(verdict)
+    return written(out.where((F.col(verdict)["lang_pred"] != "und") & (F.col(verdict)["score"] >= least)).drop(verdict), rows=TEXTS)
 
 
 def identify(docs: DataFrame, vocabulary: str, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
