@@ -43,11 +43,11 @@ WIDTH = 24
 SIDE = 2
 ROUNDS = 3
 STRIDE = 3
-BATCH = 1_024
+BATCH = 2_048
 PER_BLOCK = 1 << 19
 #: Tokens that are scored together.
 TOGETHER = 1 << 13
-RATE = 0.1
+RATE = 0.15
 SEED = 11
 #: Weights of a slice, and blocks whose weights are averaged at a time.
 SLICE = 4_096
