@@ -50,11 +50,12 @@ _RAW = "CAST(l_partkey % 800 AS INT) AS x, CAST(l_orderkey * 37 % 900 AS INT) AS
 
 
 def _boxes(spark, sf_dir, inside: bool = False):
+    """A box as wide or as high as the model's image has a null place, which padding and rescaling take as 0."""
     df = _table(spark, sf_dir, "lineitem").selectExpr(*_KEYS.split(", "), *[x.strip() for x in _RAW.split(", ")])
     df = df.withColumn("s", geometry.resized(F.col("w"), F.col("h"))).select("*", "s.*").drop("s")
     x, y = F.col("x"), F.col("y")
     if inside:
-        x, y = x % (F.col("model_w") - F.col("bw")), y % (F.col("model_h") - F.col("bh"))
+        x, y = F.try_mod(x, F.col("model_w") - F.col("bw")), F.try_mod(y, F.col("model_h") - F.col("bh"))
     return df.withColumn("b", geometry.box(x, y, F.col("bw"), F.col("bh")))
 
 
