@@ -72,3 +72,7 @@ def agrees_where_boxes_fill_images(spark, narrow, name):
 
 def test_box_pad_where_boxes_fill_images(spark, narrow):
     agrees_where_boxes_fill_images(spark, narrow, "box_pad")
+
+
+def test_box_rescale_where_boxes_fill_images(spark, narrow):
+    agrees_where_boxes_fill_images(spark, narrow, "box_rescale")
