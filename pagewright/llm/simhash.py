@@ -213,12 +213,16 @@ def place():
     return F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("d"), F.col("th").alias("t"))
 
 
-def _classes(rows: DataFrame, radius: int, bands: int, hot: int) -> DataFrame:
-    """``fp, root, component_id`` of the fingerprints of ``doc_id, fp`` rows."""
-    points = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+def rooted(points: DataFrame, radius: int = RADIUS, bands: int = BANDS, hot: int = HOT) -> DataFrame:
+    """Add ``root`` to points, which have each ``fp`` once: the least fingerprint that links lead to."""
     roots = connected_components(links(points.select("fp"), radius, bands, hot))
     member = points.join(roots, F.col("fp") == F.col("node"), "left")
-    member = written(member.select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    return written(member.select(*points.columns, F.coalesce("root", "fp").alias("root")))
+
+
+def _classes(rows: DataFrame, radius: int, bands: int, hot: int) -> DataFrame:
+    """``fp, root, component_id`` of the fingerprints of ``doc_id, fp`` rows."""
+    member = rooted(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), radius, bands, hot)
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
     return member.join(least, "root").select("fp", "root", "component_id")
 

@@ -4,7 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
-from test_operators import ODD, brute_lines, brute_similar, brute_targets
+from test_operators import ODD, brute_classes, brute_fingerprint, brute_lines, brute_similar, brute_targets, near_copies
 
 import corpus_pipeline
 from pagewright.llm.queries import tokenizer_path
@@ -50,6 +50,29 @@ def test_simhash_stage(stages):
     assert sorted(r["doc_id"] for r in made.collect()) == sorted({*brute_similar(dict(rows(given))).values()})
 
 
+def test_simhash_stage_holds_all_links_of_fingerprints(spark):
+    """Texts that repeat themselves: within 4 bits of each other, but unlike as sets of shingles."""
+    texts = near_copies(20, 9)
+    for k in range(40):
+        body = " ".join(f"b{k // 4}.{j}" for j in range(9))
+        texts[10_000 + k] = f"{f'{body} ' * 60}{' '.join(f't{k}.{j}' for j in range(12))}"
+    fps = {k: brute_fingerprint(t) for k, t in texts.items()}
+    by_bits, by_sets = brute_classes(fps), brute_similar(texts)
+    assert [by_sets[10_000 + k] for k in range(40)] == [10_000 + k for k in range(40)]
+    want, before = {k: k for k in texts}, None
+    while want != before:  # classes of both kinds, joined
+        before = want
+        for classes in (by_bits, by_sets):
+            least = {}
+            for k, c in classes.items():
+                least[c] = min(least.get(c, want[k]), want[k])
+            want = {k: least[c] for k, c in classes.items()}
+    assert len({*want.values()}) < len({*by_sets.values()}) - 20
+    df = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    kept = corpus_pipeline.simhash_stage(spark, df, SF).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted({*want.values()})
+
+
 def test_mixing_stage(stages):
     given, made = stages["mixing"]
     size = lambda t: len(WORD.findall(t or ""))
