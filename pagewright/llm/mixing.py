@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_name, n_words, prefix_for, ranked, written
+from .tokens import let_go
 
 WEIGHTS = (5, 2, 1)
 MOST = 3.0
@@ -117,6 +118,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST, bucket: int = BUCK
                 for _, g in pdf.groupby(["bucket", "source"], dropna=False, sort=False):
                     yield _round(g, last, columns)
 
+            let_go()
             rest = None
             for pdf in batches:
                 if rest is not None:

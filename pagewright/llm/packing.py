@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import TEXTS, by_name, written
-from .tokens import encoder
+from .tokens import encoder, let_go
 
 CAPACITY = 2048
 CLOSE = 0
@@ -192,6 +192,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, islan
 
     def epoch(step: int):
         def run(key, pdf):
+            let_go()  # the encoder's words
             pdf = pdf.sort_values(["sender", "uid"])
             senders = pdf["sender"].unique().tolist()
             one = pdf[pdf["sender"] == senders[0]]

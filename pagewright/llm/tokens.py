@@ -7,7 +7,10 @@ the words that it has met, up to a bound, and encodes a word once.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
+from contextlib import suppress
 from itertools import islice
 
 import numpy as np
@@ -145,11 +148,23 @@ _held: list = [None, None]
 def held(key, make):
     """What a worker keeps from task to task under a key: one thing, so that stages do not pile up in its memory."""
     if _held[0] != key:
-        _held[:] = [None, None]  # the old one goes first
+        let_go()  # the old one goes first
         _held[:] = [key, make()]
     return _held[1]
 
 
+def let_go() -> None:
+    """Give back what an earlier stage left in this worker: what is held, and freed memory that allocators keep for themselves."""
+    import pyarrow as pa
+
+    if _held[0] is not None:
+        _held[:] = [None, None]
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # glibc's alone
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def encoder(path: str, special: bool = True) -> WordEncoder:
     """The worker's own encoder of a file."""
     return held(("encoder", path, special), lambda: WordEncoder(path, special))

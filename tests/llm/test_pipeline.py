@@ -121,3 +121,25 @@ def test_odd_rows_run_through_all_stages(spark):
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 900 and {"doc_id", "sequence_id", "offset"} <= {*out.columns}
+
+
+@pytest.mark.parametrize("stage", ["SimHash near-dedup", "mixing"])
+def test_workers_let_go_of_what_earlier_stages_held(spark, stage):
+    def holding(batches):
+        from pagewright.llm import tokens
+
+        for pdf in batches:
+            tokens.held("an earlier stage's", lambda: bytearray(1 << 20))
+            yield pdf
+
+    def probe(batches):
+        from pagewright.llm import tokens
+
+        for pdf in batches:
+            yield pdf.__class__({"key": [str(tokens._held[0])]})
+
+    docs = spark.createDataFrame([(k, f"word{k} " * 9 + "some more words", "en", "ab"[k % 2], 40) for k in range(200)], "doc_id long, text string, lang string, source string, n_chars long").repartition(16)
+    spark.range(0, 64, 1, 64).mapInPandas(holding, "id long").count()
+    dict(corpus_pipeline.STAGES)[stage](spark, docs, SF).count()
+    left = [r["key"] for r in spark.range(0, 64, 1, 64).mapInPandas(probe, "key string").collect()]
+    assert left == ["None"] * 64
